@@ -36,7 +36,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sylva.llm.common import arrow_map
+from sylva.llm.common import arrow_map, per_process
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -264,14 +264,9 @@ class Codec:
         return "".join(self.decoder.stream(ids) if None in parts else parts)
 
 
-#: One codec a process and vocabulary.
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(path, pattern)
-    return _CODECS[path, pattern]
+    """One codec a process and vocabulary."""
+    return per_process(("codec", path, pattern), lambda: Codec(path, pattern))
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = False) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of an Arrow batch. Texts have no length limit, so batches hold few.
@@ -42,3 +46,19 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str) ->
     """``mapInArrow`` with batches of few rows."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(fn, schema)
+
+
+def per_process(key, make: Callable, limit: int = 16):
+    """``make()``, kept for later tasks of the same Python worker (functions arrive anew with every task)."""
+    store = sys.modules.setdefault("_sylva_process", types.ModuleType("_sylva_process")).__dict__.setdefault("kept", {})
+    if key not in store:
+        while len(store) >= limit:
+            store.pop(next(iter(store)))
+        store[key] = make()
+    return store[key]
+
+
+def share(spark: SparkSession, value) -> Callable:
+    """Broadcast a value of this package's types; the returned function gets it on a worker, unpickled once a process."""
+    sent, key = spark.sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
+    return lambda: per_process(key, lambda: pickle.loads(sent.value))

@@ -250,6 +250,7 @@ def _lines(out: _Text) -> list[str]:
 
 def _table(out: _Text, table: dict) -> None:
     """Cells padded to their column's width; a cell of several lines takes as many lines of the row."""
+    out.block(False)  # text of the table outside its cells comes first
     rows = [r for r in table["rows"] if r]
     widths: list[int] = []
     for row in rows:

@@ -20,7 +20,7 @@ import math
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sylva.llm.common import arrow_map
+from sylva.llm.common import arrow_map, per_process
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -99,16 +99,11 @@ class Counter:
         return total, score
 
 
-_COUNTERS: dict[str, Counter] = {}
-
-
 def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens and score of every document; ``vocabulary`` is a sentencepiece file that every executor can read."""
 
     def run(batches):
-        if vocabulary not in _COUNTERS:
-            _COUNTERS[vocabulary] = Counter(read_pieces(vocabulary))
-        own = _COUNTERS[vocabulary]
+        own = per_process(("counter", vocabulary), lambda: Counter(read_pieces(vocabulary)))
         for b in batches:
             got = [own.count(t or "") for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x for x, _ in got], pa.int64()), pa.array([s for _, s in got], pa.float64())], ["doc_id", "n_tokens", "score"])

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sylva.llm.common import arrow_map
+from sylva.llm.common import arrow_map, share
 
 
 @dataclass(frozen=True)
@@ -34,29 +34,48 @@ class Settings:
     negatives: int = 3000
     window: int = 48
     stride: int = 36
-    hidden: int = 10
+    hidden: int = 8
     word_buckets: int = 1 << 13
     gram_buckets: int = 1 << 14
     size: int = 8  # of either embedding
-    epochs: int = 8
+    steps: int = 420  # of training, whatever the sample's size
     bags: int = 64
     drawn: int = 4  # windows of a document in a step
     rate: float = 0.01
     seed: int = 5
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode().split()
-
+#: ASCII punctuation separates words, as white space does.
+SEPARATE = bytes(32 if 33 <= c < 48 or 58 <= c < 65 or 91 <= c < 97 or 123 <= c < 127 else c for c in range(256))
 
-def grams_of(word: bytes) -> list[bytes]:
-    marked = b"^" + word.strip(b".,;:!?\"'()") + b"$"
-    return [marked[i : i + n] for n in (3, 4, 5) for i in range(max(1, len(marked) - n + 1))] + [marked]
 
-
-def _hash(data: bytes, buckets: int) -> int:
-    h = zlib.crc32(data)
-    return (h ^ h >> 15) % buckets
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").lower().encode().translate(SEPARATE).split()
+
+
+def features(words: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per word the bucket of its hash; the buckets of its 3- to 5-grams of bytes with ends marked, all in one array; how many each has."""
+    marked = [b"^" + w + b"$" for w in words]
+    size = np.array([len(w) for w in marked], dtype=np.int64)
+    data = np.frombuffer(b"".join(marked), dtype=np.uint8).astype(np.uint64)
+    first = np.cumsum(size) - size
+    word = np.repeat(np.arange(len(words)), size)
+    left = np.repeat(first + size, size) - np.arange(len(data))  # bytes of the word from here on
+    at = (size[word] - left).astype(np.uint64)
+    mix = lambda h, n: ((h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)).astype(np.int64) % n
+    with np.errstate(over="ignore"):
+        power = np.multiply.accumulate(np.full(max(1, int(size.max(initial=1))), 0x9E3779B97F4A7C15, dtype=np.uint64))
+        whole = np.add.reduceat((data + np.uint64(1)) * power[at.astype(np.int64)], first)
+        h, grams, owner = data + np.uint64(1), [], []
+        for n in range(2, 6):
+            h = h[:-1] * np.uint64(0x100000001B3) + data[n - 1 :] + np.uint64(n)
+            if n > 2:
+                ok = left[: len(h)] >= n
+                grams.append(mix(h[ok], s.gram_buckets))
+                owner.append(word[: len(h)][ok])
+    owner = np.concatenate(owner)
+    order = np.argsort(owner, kind="stable")
+    return mix(whole, s.word_buckets), np.concatenate(grams)[order], np.bincount(owner, minlength=len(words))
 
 
 def starts(n: int, s: Settings) -> list[int]:
@@ -65,30 +84,28 @@ def starts(n: int, s: Settings) -> list[int]:
 
 
 class Vocabulary:
-    """Numbers words as they come; per number the word's bucket and its grams' buckets."""
+    """Numbers words as they come."""
 
-    def __init__(self, s: Settings, limit: int = 200_000):
-        self.s, self.limit = s, limit
+    def __init__(self, limit: int = 400_000):
+        self.limit = limit
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {b"": 0}
-        self.word: list[int] = [0]
-        self.grams: list[list[int]] = [[0]]
+        self.words: list[bytes] = [b""]
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         number = self.number
         found = list(map(number.get, words))
         if None in found:
-            for i, w in enumerate(words):
-                if found[i] is None:
-                    got = number.get(w)
-                    if got is None:
-                        got = number[w] = len(self.word)
-                        self.word.append(_hash(w, self.s.word_buckets))
-                        self.grams.append([_hash(g, self.s.gram_buckets) for g in grams_of(w[:64])])
-                    found[i] = got
-        return np.array(found, dtype=np.int64)
+            for i, n in enumerate(found):
+                if n is None:
+                    w = words[i]
+                    n = number.setdefault(w, len(self.words))
+                    if n == len(self.words):
+                        self.words.append(w)
+                    found[i] = n
+        return np.array(found, dtype=np.int32)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -108,15 +125,16 @@ class Network:
             self.p |= {f"x{way}": normal(d, 3 * h, scale=0.4), f"h{way}": normal(h, 3 * h, scale=0.3), f"b{way}": np.zeros(3 * h, np.float32)}
         self.calibration = (1.0, 0.0)
 
-    def inputs(self, voc: Vocabulary, numbers: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """The vectors of some word numbers."""
-        words = np.array([voc.word[i] for i in numbers], dtype=np.int64)
-        lists = [voc.grams[i] for i in numbers]
-        n = np.array([len(x) for x in lists])
-        flat = np.concatenate([np.asarray(x, dtype=np.int64) for x in lists])
-        first = np.concatenate([[0], np.cumsum(n)[:-1]])
-        mean = np.add.reduceat(self.p["gram"][flat], first, axis=0) / n[:, None].astype(np.float32)
-        return np.concatenate([self.p["word"][words], mean], axis=1), (words, flat, n)
+    def inputs(self, words: list[bytes]) -> tuple[np.ndarray, tuple]:
+        """The vectors of some words, and the buckets they come from."""
+        word, flat, n = features(words, self.s)
+        x = np.zeros((len(words), 2 * self.s.size), np.float32)
+        x[:, : self.s.size] = self.p["word"][word]
+        some = np.flatnonzero(n)
+        if len(some):
+            sums = np.add.reduceat(self.p["gram"][flat], (np.cumsum(n) - n)[some], axis=0)
+            x[some, self.s.size :] = sums / n[some, None].astype(np.float32)
+        return x, (word, flat, n)
 
     def states(self, x: np.ndarray, mask: np.ndarray, way: str, keep: list | None = None) -> np.ndarray:
         """GRU states (time, batch, hidden) over projected inputs x (time, batch, 3 * hidden)."""
@@ -190,16 +208,16 @@ def fit(texts: list[str], labels: list[int], s: Settings = Settings()) -> Networ
     y = np.array(labels, dtype=np.float32)
     if not len(y) or y.min() == y.max():
         return None
-    net, voc, rng = Network(s), Vocabulary(s, limit=1 << 40), np.random.default_rng(s.seed + 1)
+    net, voc, rng = Network(s), Vocabulary(), np.random.default_rng(s.seed + 1)
     docs = [voc.ids(words_of(t)) for t in texts]
     first, second, step = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2)), None, 0
     first, second = first
     weight = np.where(y > 0, min(4.0, (len(y) - y.sum()) / y.sum()) ** 0.5, 1.0).astype(np.float32)
-    for epoch in range(s.epochs):
+    while step < s.steps:
         order = rng.permutation(len(docs))
-        rate = s.rate * (1 - epoch / s.epochs) ** 0.5
         for i in range(0, len(order), s.bags):
             bag = order[i : i + s.bags]
+            rate = s.rate * max(0.02, 1 - step / s.steps) ** 0.5
             windows, owner = [], []
             for d in bag:
                 all_ = starts(len(docs[d]), s)
@@ -212,7 +230,7 @@ def fit(texts: list[str], labels: list[int], s: Settings = Settings()) -> Networ
             mask[0] = 1
             numbers, at = np.unique(at, return_inverse=True)
             at = at.reshape(mask.shape)
-            x, (words, flat, n) = net.inputs(voc, numbers)
+            x, (words, flat, n) = net.inputs([voc.words[i] for i in numbers])
             projected = {w: (x @ net.p[f"x{w}"] + net.p[f"b{w}"])[at] for w in "fb"}
             tape: dict = {}
             logit = net.forward(projected, mask, tape)
@@ -225,7 +243,7 @@ def fit(texts: list[str], labels: list[int], s: Settings = Settings()) -> Networ
             g, dx = net.backward(tape, (d_logit / len(bag)).astype(np.float32), x, at)
             g["word"], g["gram"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["gram"])
             np.add.at(g["word"], words, dx[:, : s.size])
-            np.add.at(g["gram"], flat, np.repeat(dx[:, s.size :] / n[:, None].astype(np.float32), n, axis=0))
+            np.add.at(g["gram"], flat, np.repeat(dx[:, s.size :] / np.maximum(n, 1)[:, None].astype(np.float32), n, axis=0))
             step += 1
             norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
             for k, v in g.items():
@@ -250,7 +268,7 @@ def _calibrate(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def _padded(windows: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
-    at = np.zeros((len(windows), size), dtype=np.int64)
+    at = np.zeros((len(windows), size), dtype=np.int32)
     mask = np.zeros((len(windows), size), dtype=np.float32)
     for i, w in enumerate(windows):
         at[i, : len(w)], mask[i, : max(1, len(w))] = w, 1
@@ -262,19 +280,19 @@ class Scorer:
 
     def __init__(self, net: Network, block: int = 2048):
         self.net, self.block = net, block
-        self.voc = Vocabulary(net.s)
+        self.voc = Vocabulary()
         self.table = {w: np.zeros((0, 3 * net.s.hidden), np.float32) for w in "fb"}
         self.done = 0
 
     def _grow(self) -> None:
-        n = len(self.voc.word)
+        n = len(self.voc.words)
         if n == self.done:
             return
-        x, _ = self.net.inputs(self.voc, np.arange(self.done, n))
+        x, _ = self.net.inputs(self.voc.words[self.done : n])
         for w in "fb":
             new = x @ self.net.p[f"x{w}"] + self.net.p[f"b{w}"]
             if n > len(self.table[w]):
-                grown = np.zeros((max(2 * len(self.table[w]), n, 4096), new.shape[1]), np.float32)
+                grown = np.zeros((max(len(self.table[w]) * 3 // 2, n, 4096), new.shape[1]), np.float32)
                 grown[: self.done] = self.table[w][: self.done]
                 self.table[w] = grown
             self.table[w][self.done : n] = new
@@ -298,7 +316,7 @@ class Scorer:
             owner.clear()
 
         for d, text in enumerate(texts):
-            if len(self.voc.word) > self.voc.limit:
+            if len(self.voc.words) > self.voc.limit:
                 flush()
                 self.voc.clear()
                 self.done = 0
@@ -335,15 +353,11 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Netwo
 
 
 def _scoring(net: Network | None, spark):
-    shared = spark.sparkContext.broadcast(net)
-    own: list = []
+    shared = share(spark, net and Scorer(net))
 
     def score(texts: list) -> np.ndarray:
-        if shared.value is None:
-            return np.zeros(len(texts))
-        if not own:
-            own.append(Scorer(shared.value))
-        return own[0].scores(texts)
+        scorer = shared()
+        return np.zeros(len(texts)) if scorer is None else scorer.scores(texts)
 
     return score
 

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sylva.llm.common import arrow_map, written
+from sylva.llm.common import arrow_map, share, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -79,6 +79,20 @@ def _positions(h1: np.ndarray, h2: np.ndarray, level: int, k: int, m: int) -> li
         return [((x + np.uint64(i) * step) * np.uint64(0x94D049BB133111EB) >> np.uint64(24)) % np.uint64(m) for i in range(k)]
 
 
+def _slice(h1: np.ndarray, parts: int) -> np.ndarray:
+    return (h1 >> np.uint64(40)) % np.uint64(parts)
+
+
+def contains(h1: np.ndarray, h2: np.ndarray, levels: list[Level], parts: int) -> np.ndarray:
+    """For keys of the slices that ``levels`` hold: is the depth of acceptance odd?"""
+    p = _slice(h1, parts)
+    alive, depth = np.ones(len(h1), dtype=bool), np.zeros(len(h1), dtype=np.int64)
+    for i, level in enumerate(levels):
+        alive &= level.has(h1, h2, p, i)
+        depth += alive
+    return depth % 2 == 1
+
+
 @dataclass
 class Level:
     bits: dict[int, np.ndarray] = field(default_factory=dict)  # by slice
@@ -103,7 +117,7 @@ class BloomCascade:
     ``fit(universe, listed)`` takes two DataFrames with a string column ``key``:
     all keys of the corpus (repeated rows are merged, nulls dropped) and the
     listed ones. ``listed_keys(universe)`` returns the distinct keys with a
-    boolean ``listed``; ``contains(h1, h2)`` answers for numpy hashes.
+    boolean ``listed``; ``mark`` looks up array columns of keys.
     """
 
     def __init__(self, bits_per_key: float = 6.0, slice_bits: int = 1 << 22, max_bytes: int = 64 << 20):
@@ -127,9 +141,6 @@ class BloomCascade:
             self.passes.append(self._levels(range(first, min(self.parts, first + per_pass))))
         return self
 
-    def _part(self, h1: np.ndarray) -> np.ndarray:
-        return (h1 >> np.uint64(40)) % np.uint64(self.parts)
-
     def _levels(self, parts: range) -> list[Level]:
         """All levels for some slices. Each level is one pass over the keys."""
         levels: list[Level] = []
@@ -150,15 +161,15 @@ class BloomCascade:
 
     def _rest(self, levels: list[Level], parts: range) -> DataFrame:
         """Keys that all levels so far accept: for the next level, those to encode and those to tell apart."""
-        shared = self.universe.sparkSession.sparkContext.broadcast(levels) if levels else None
-        lo, hi, part = parts.start, parts.stop, self._part
+        shared = share(self.universe.sparkSession, levels)
+        lo, hi, n = parts.start, parts.stop, self.parts
 
         def run(batches):
             for b in batches:
                 h1, h2 = (b.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2"))
-                p = part(h1)
+                p = _slice(h1, n)
                 ok = (p >= lo) & (p < hi)
-                for i, level in enumerate(shared.value if shared else []):
+                for i, level in enumerate(shared()):
                     ok &= level.has(h1, h2, p, i)
                 yield pa.RecordBatch.from_arrays([pa.array(h1[ok].view(np.int64)), pa.array(h2[ok].view(np.int64)), pa.array(p[ok].astype(np.int32)), b.column("listed").filter(pa.array(ok))], ["h1", "h2", "part", "listed"])
 
@@ -178,33 +189,24 @@ class BloomCascade:
 
         return arrow_map(keys, run, "part int, word int, bits long").groupBy("part", "word").agg(F.bit_or("bits").alias("bits"))
 
-    def contains(self, h1: np.ndarray, h2: np.ndarray, levels: list[Level]) -> np.ndarray:
-        """For keys of the slices that ``levels`` hold: is the depth of acceptance odd?"""
-        p = self._part(h1)
-        alive, depth = np.ones(len(h1), dtype=bool), np.zeros(len(h1), dtype=np.int64)
-        for i, level in enumerate(levels):
-            alive &= level.has(h1, h2, p, i)
-            depth += alive
-        return depth % 2 == 1
-
     def mark(self, df: DataFrame, keys: str, out: str) -> DataFrame:
         """Add boolean ``out``: is any string of the array column ``keys`` listed? No join, no shuffle."""
         for i, levels in enumerate(self.passes):
-            shared = df.sparkSession.sparkContext.broadcast((levels, self.contains))
+            shared = share(df.sparkSession, (levels, self.parts))
 
             @F.pandas_udf("boolean")
             def hit(h1, h2, shared=shared):
                 import pandas as pd
 
-                levels, contains = shared.value
+                levels, parts = shared()
                 n = h1.map(len).to_numpy()
                 if not n.sum():
                     return pd.Series(np.zeros(len(h1), dtype=bool))
                 a, b = (np.concatenate([np.asarray(x, dtype=np.int64) for x in s]).view(np.uint64) for s in (h1, h2))
-                got = contains(a, b, levels)
+                got = contains(a, b, levels, parts)
                 return pd.Series(np.bincount(np.repeat(np.arange(len(n)), n), weights=got, minlength=len(n)) > 0)
 
-            h1, h2 = (F.transform(keys, lambda k, s=s: F.xxhash64(F.lit(s), k)) for s in (1, 2))
+            h1, h2 = F.transform(keys, lambda k: F.xxhash64(F.lit(1), k)), F.transform(keys, lambda k: F.xxhash64(F.lit(2), k))
             was = F.col(out) if i else F.lit(False)
             df = df.withColumn(out, was | hit(h1, h2))
         return df if self.passes else df.withColumn(out, F.lit(False))
