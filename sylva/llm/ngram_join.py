@@ -101,7 +101,7 @@ def max_distance(size: int, largest: int, t: Fraction) -> int:
     return int((size + b) * (1 - t) / (1 + t))
 
 
-def layout(band: int, share: float, t: Fraction, load: float = 3.5, deletion_load: float = 8.0) -> Layout:
+def layout(band: int, share: float, t: Fraction, load: float = 1.25, deletion_load: float = 8.0) -> Layout:
     top = int(((1 << band + 1) - 1) / t)  # natives and guests
     need = max_distance(top, top, t) + 1
     deletion = round(top * share / deletion_load)
@@ -109,8 +109,12 @@ def layout(band: int, share: float, t: Fraction, load: float = 3.5, deletion_loa
     return Layout(band, max(need, int(top * (1 - share) / load) + 2), deletion, share)
 
 
-def signatures(s: np.ndarray, lay: Layout, native: bool, t: Fraction, hot: np.ndarray) -> np.ndarray:
-    """The signatures of a set (sorted hashes) in a layout; ``hot`` is a sorted array of frequent ones."""
+def signatures(s: np.ndarray, lay: Layout, native: bool, t: Fraction, hot: np.ndarray, rare: list | None = None, every: bool = False) -> np.ndarray:
+    """The signatures of a set (sorted hashes) in a layout; ``hot`` is a sorted array of frequent ones.
+
+    ``rare`` gets the subset segments of the signatures that come before any hot one;
+    ``every`` gives all signatures of subsets that aren't empty.
+    """
     size = len(s)
     largest = int(((1 << lay.band + 1) - 1) / t) if native else (1 << lay.band + 1) - 1
     room = max_distance(size, largest, t) + 1
@@ -131,6 +135,8 @@ def signatures(s: np.ndarray, lay: Layout, native: bool, t: Fraction, hot: np.nd
         room -= int(many.sum()) * 2 + int((~many).sum())
         inside = np.repeat(many, count)
         out.append(mix(mix((np.repeat(total, count) - weights[:k])[inside] ^ seed) + np.repeat(place, count)[inside]))
+    if every:
+        room = max(room, size)
     if room > 0:
         seg = (high[k:] - cut if lay.deletion else high[k:]) * np.uint64(lay.plain) // np.uint64((1 << 32) - int(cut if lay.deletion else 0))
         if len(seg):
@@ -139,19 +145,32 @@ def signatures(s: np.ndarray, lay: Layout, native: bool, t: Fraction, hot: np.nd
             used = seg[first]
         else:
             sig, used = EMPTY, EMPTY
+        late = np.zeros(len(sig), dtype=bool)
+        if len(hot) and len(sig):
+            at = np.minimum(np.searchsorted(hot, sig), len(hot) - 1)
+            late = hot[at] == sig
         if len(sig) > room:
-            late = np.zeros(len(sig), dtype=bool)
-            if len(hot):
-                at = np.minimum(np.searchsorted(hot, sig), len(hot) - 1)
-                late = hot[at] == sig
-            sig = sig[np.lexsort((sig, late))[:room]]
-        elif len(sig) < room:
+            first = np.lexsort((sig, late))[:room]
+            sig, used, late = sig[first], used[first], late[first]
+        if rare is not None:
+            rare.append(used[~late])
+        if len(sig) < room and not every:
             free = np.setdiff1d(np.arange(lay.plain, dtype=np.uint64), used)[: room - len(sig)]
             sig = np.concatenate([sig, mix(mix(seed) + free)])
         out.append(sig)
     return np.unique(np.concatenate(out)) if out else EMPTY
 
 
+def rare_mask(s: np.ndarray, lay: Layout, native: bool, t: Fraction, hot: np.ndarray) -> list[int]:
+    """512 bits, as eight longs: the segments of the rare subset signatures, modulo 512."""
+    rare: list = []
+    signatures(s, lay, native, t, hot, rare)
+    bits = np.zeros(512, dtype=np.uint8)
+    for x in rare:
+        bits[(x % np.uint64(512)).astype(np.int64)] = 1
+    return np.packbits(bits).view("<i8").tolist()
+
+
 def laid_out(size: int, t: Fraction) -> list[tuple[int, bool]]:
     """(band, native) of the layouts a set of this size takes part in."""
     b = band_of(size)
@@ -176,7 +195,7 @@ def _overlaps(a: np.ndarray, b: np.ndarray, t: Fraction) -> bool:
 class NgramJoin:
     """See the module. ``fit`` returns one row per document: doc_id, n_shingles, component_id."""
 
-    def __init__(self, words: int = 5, threshold: Fraction = Fraction(4, 5), sample: int = 400, hot_rate: int = 8, hot_count: int = 4, max_hot: int = 1_000_000, salts: int = 16, rounds: int = 3):
+    def __init__(self, words: int = 5, threshold: Fraction = Fraction(4, 5), sample: int = 400, hot_rate: int = 8, hot_count: int = 4, max_hot: int = 1_000_000, salts: int = 16, rounds: int = 1):
         self.words, self.t, self.sample = words, threshold, sample
         self.hot_rate, self.hot_count, self.max_hot, self.salts, self.rounds = hot_rate, hot_count, max_hot, salts, rounds
 
@@ -220,7 +239,7 @@ class NgramJoin:
         for band in range(41):
             sets = by_band.get(band, [])
             best = None
-            for share in (0.0, 0.15, 0.4) if len(sets) > 1 else (0.0,):
+            for share in (0.0, 0.05, 0.1) if len(sets) > 1 else (0.0,):
                 lay = layout(band, share, self.t)
                 found = [signatures(s, lay, True, self.t, EMPTY) for s in sets]
                 rows = sum(map(len, found)) * scale
@@ -231,7 +250,7 @@ class NgramJoin:
             out[band] = best[1]
         return out
 
-    def _emitted(self, docs: DataFrame, layouts: dict[int, Layout], hot: np.ndarray) -> DataFrame:
+    def _emitted(self, docs: DataFrame, layouts: dict[int, Layout], hot: np.ndarray, every: bool = False) -> DataFrame:
         """(sig, salt, cid): every signature of every document."""
         words, t, salts = self.words, self.t, self.salts
         shared = share(docs.sparkSession, (layouts, hot))
@@ -246,7 +265,7 @@ class NgramJoin:
                     if len(s):
                         c = class_of(s)[0]
                         for band, native in laid_out(len(s), t):
-                            x = signatures(s, lays[band], native, t, late)
+                            x = signatures(s, lays[band], native, t, late, every=every)
                             sig.append(x)
                             cid.append(np.full(len(x), c, dtype=np.int64))
                     if sum(map(len, sig)) > 200_000:
@@ -267,9 +286,9 @@ class NgramJoin:
         return arrow_map(docs.select("text"), run, "sig long, salt int, cid long")
 
     def hot_signatures(self, docs: DataFrame, layouts: dict[int, Layout]) -> np.ndarray:
-        """Signatures of ``hot_count`` or more documents in a sample of one in ``hot_rate`` texts; at most ``max_hot``, the most frequent."""
+        """Signatures that ``hot_count`` or more documents have in a sample of one in ``hot_rate`` texts; at most ``max_hot``, the most frequent. Chosen or not in a first order: those that come up when others are put last are among them."""
         some = docs.where(F.pmod(F.xxhash64(F.lit(9), "doc_id", "text"), F.lit(self.hot_rate)) == 0)
-        seen = self._emitted(some, layouts, EMPTY).groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("lo"), F.max("cid").alias("hi"))
+        seen = self._emitted(some, layouts, EMPTY, every=True).groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("lo"), F.max("cid").alias("hi"))
         top = seen.where((F.col("n") >= self.hot_count) & (F.col("lo") != F.col("hi"))).orderBy(F.desc("n"), "sig").limit(self.max_hot)
         return np.sort(np.array([r["sig"] for r in top.select("sig").toLocalIterator()], dtype=np.int64).view(np.uint64))
 
@@ -316,22 +335,29 @@ class NgramJoin:
 
     # verification -------------------------------------------------------
 
-    def texts(self, docs: DataFrame, classes: DataFrame, cids: DataFrame) -> DataFrame:
-        """(cid, n, text): one text for each class that a candidate needs."""
-        words = self.words
+    def texts(self, docs: DataFrame, classes: DataFrame, cids: DataFrame, layouts: dict[int, Layout], hot: np.ndarray) -> DataFrame:
+        """(cid, n, text, band, own, guest): one text for each class that a candidate needs, with its masks of rare segments."""
+        words, t, shared = self.words, self.t, share(docs.sparkSession, (layouts, hot))
         owners = classes.where("doc_id is not null").join(cids, "cid", "left_semi").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
-        rows = docs.select("doc_id", "text").join(owners, "doc_id").select("cid", "n", "text")
-        rows = rows.unionByName(docs.where("doc_id is null").select(F.lit(None).cast("long").alias("cid"), F.lit(None).cast("long").alias("n"), "text"))
+        rows = docs.select("doc_id", "text").join(owners, "doc_id").select("cid", "text")
+        rows = rows.unionByName(docs.where("doc_id is null").select(F.lit(None).cast("long").alias("cid"), "text"))
 
         def run(batches):  # a repeated id may have other texts
             shingle = Shingler(words)
+            lays, late = shared()
             for b in batches:
-                sets = [shingle(x) for x in b.column("text").to_pylist()]
-                own = [class_of(s)[0] if len(s) else None for s in sets]
-                ok = [o is not None and c in (None, o) for c, o in zip(b.column("cid").to_pylist(), own, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), b.column("text")], ["cid", "n", "text"]).filter(pa.array(ok, pa.bool_()))
+                out = []
+                for c, text in zip(b.column("cid").to_pylist(), b.column("text").to_pylist(), strict=True):
+                    s = shingle(text)
+                    own = class_of(s)[0] if len(s) else None
+                    if own is not None and c in (None, own):
+                        masks = [rare_mask(s, lays[band], native, t, late) for band, native in laid_out(len(s), t)]
+                        out.append((own, len(s), text, band_of(len(s)), masks[0], masks[-1]))
+                if out:
+                    types = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*out, strict=True), types, strict=True)], ["cid", "n", "text", "band", "own", "guest"])
 
-        return written(arrow_map(rows, run, "cid long, n long, text string").dropDuplicates(["cid"]), "ngram-texts")
+        return written(arrow_map(rows, run, "cid long, n long, text string, band int, own array<long>, guest array<long>").dropDuplicates(["cid"]), "ngram-texts")
 
     def verified(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """The pairs (a, b) of classes that are linked."""
@@ -362,17 +388,18 @@ class NgramJoin:
         docs = docs.select("doc_id", "text")
         classes = self.classes(docs)
         lays = self.layouts(docs, classes.count())
-        members = self.members(self._emitted(docs, lays, self.hot_signatures(docs, lays)))
+        hot = self.hot_signatures(docs, lays)
+        members = self.members(self._emitted(docs, lays, hot))
         found = members.select("cid").distinct()
-        texts = self.texts(docs, classes, found)
+        texts = self.texts(docs, classes, found, lays, hot)
         tops = members.where("salt > 0 and cid = center").groupBy("sig").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).where("a <> z")
         salted = members.where("salt > 0 and cid = center").join(tops, "sig").select("a", F.col("cid").alias("b"))
         pairs = _ordered(members.select(F.col("center").alias("a"), F.col("cid").alias("b")).unionByName(salted))
         tried = written(pairs, "ngram-pairs")
         links = written(self.verified(tried, texts), "ngram-links")
         labels = components(links)
-        groups = members.select("sig", "cid").distinct()
-        sizes = texts.select("cid", "n")
+        groups = members.select("sig", "cid", (F.col("salt") > 0).alias("hot")).distinct()
+        sizes = texts.drop("text")
         for k in range(self.rounds + 1):
             open_ = groups.join(labels.withColumnRenamed("v", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
             open_ = written(open_, "ngram-open")
@@ -382,11 +409,7 @@ class NgramJoin:
                 first = heads.groupBy("sig").agg(F.min(F.struct(F.xxhash64(F.lit(k), "label").alias("h"), "label", "cid")).alias("f"))
                 new = heads.join(first, "sig").where("label <> f.label").select(F.col("f.cid").alias("a"), F.col("cid").alias("b"))
             else:
-                small = open_.join(mixed, "sig").join(sizes, "cid")
-                x, y = small.select("sig", F.col("cid").alias("a"), F.col("label").alias("la"), F.col("n").alias("na")), small.select("sig", F.col("cid").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
-                t = self.t
-                near = (F.col("na") * t.numerator <= F.col("nb") * t.denominator) & (F.col("na") <= F.col("nb"))
-                new = x.join(y, "sig").where((F.col("la") != F.col("lb")) & F.expr(f"nb * {t.numerator} <= na * {t.denominator}") & near).select("a", "b")
+                new = self._remaining(open_.join(mixed, "sig").join(sizes, "cid"))
             new = written(_ordered(new).join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
             if not new.limit(1).count():
                 if k < self.rounds:
@@ -405,6 +428,23 @@ class NgramJoin:
         return classes.where("cid is not null").join(final, "cid").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
 
 
+    def _remaining(self, open_: DataFrame) -> DataFrame:
+        """Pairs of one signature in different components whose sizes fit.
+
+        At a hot signature a pair counts only if it shares no rare one (else that
+        one brings it). Then all segments of either's rare subset signatures differ, so
+        their number, counted modulo 512, must not exceed the allowed distance.
+        """
+        t = self.t
+        x = open_.select("sig", "hot", *[F.col(c).alias(f"{c}_a") for c in ("cid", "label", "n", "band", "own")])
+        y = open_.select("sig", *[F.col(c).alias(f"{c}_b") for c in ("cid", "label", "n", "band", "own", "guest")])
+        fits = (F.col("label_a") != F.col("label_b")) & ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("cid_a") < F.col("cid_b")))) & (F.col("n_b") * t.numerator <= F.col("n_a") * t.denominator)
+        other = F.when(F.col("band_a") == F.col("band_b"), F.col("own_b")).otherwise(F.col("guest_b"))
+        apart = sum((F.bit_count(F.col("own_a")[i].bitwiseOR(other[i])) for i in range(8)), F.lit(0))
+        near = apart * (t.numerator + t.denominator) <= (F.col("n_a") + F.col("n_b")) * (t.denominator - t.numerator)
+        return x.join(y, "sig").where(fits & (~F.col("hot") | near)).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"))
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
