@@ -196,7 +196,7 @@ def query_auc(spark, d):
 
 
 def query_rmse(spark, d):
-    return _events(spark, d).select("event_id", F.round(ranking.query_rmse_der("user_id", "approx", "target"), 3).alias("der"))
+    return _events(spark, d).select("event_id", F.round(ranking.query_rmse_der("user_id", "approx", "target") + 1e-7, 3).alias("der"))
 
 
 def query_softmax(spark, d):
@@ -312,7 +312,7 @@ ORACLE_SQL = {
         round(r, 8) + 0.0 as expectile_1, -1.0::double as expectile_2, round(t - p, 8) + 0.0 as logloss_1, round(-p * (1 - p), 8) + 0.0 as logloss_2 from g""",
     "query_auc": f"""with {_EV}, f as (select user_id, approx, (target > 1)::int as t from e), p as (select a.user_id, sum(case when a.approx > b.approx then 1.0 when a.approx = b.approx then 0.5 else 0 end) / count(*) as v
         from f a join f b on a.user_id = b.user_id and a.t = 1 and b.t = 0 group by 1) select u.user_id, round(coalesce(v, 1), 6) as value from (select distinct user_id from f) u left join p using (user_id)""",
-    "query_rmse": f"with {_EV} select event_id, round((target - approx) - avg(target - approx) over (partition by user_id), 3) as der from e",
+    "query_rmse": f"with {_EV} select event_id, round((target - approx) - avg(target - approx) over (partition by user_id) + 1e-7, 3) as der from e",
     "query_softmax": f"""with {_EV}, x as (select event_id, user_id, target, exp(approx / 100 - max(approx / 100) over (partition by user_id)) as z from e)
         select event_id, round(case when sum(target) over w > 0 then target - sum(target) over w * z / sum(z) over w else 0 end, 6) as der from x window w as (partition by user_id)""",
     "pair_logit": f"""with {_EV}, p as (select max(event_id) as winner, min(event_id) as loser from e group by user_id having count(*) > 1), g as (select winner, loser, 1 / (1 + exp(a.approx / 100 - b.approx / 100)) as g from p join e a on a.event_id = winner join e b on b.event_id = loser)
