@@ -21,10 +21,11 @@ Any order serves, so the sample decides cost, never the result.
 Sets are merged into classes first (equal shingle sets), so copies never meet in
 the join. Signatures meet in one shuffle, sorted, and are read as a stream: every
 class of a signature is linked to the signature's first class (a star, not all
-pairs); hot signatures are salted. Candidates are verified exactly on the texts; components of
+pairs); hot signatures are salted. Candidates that sizes and odd sketches (an exact lower bound of
+the difference) leave possible are verified exactly on the texts; components of
 the links found so far are contracted; then, in rounds, classes of one signature but
 different components are tried, first star-wise between components, at last
-all pairs that are still in different components. A pair inside one component needs no
+all that are still in different components, by their sketches inside the join. A pair inside one component needs no
 check: its link cannot change the result.
 
 Results per document: ``n_shingles``, ``component_id``. Null and empty texts have empty sets and
@@ -47,6 +48,7 @@ from sylva.llm.common import arrow_map, share, written
 
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 EMPTY = np.zeros(0, dtype=np.uint64)
+SKETCH_BITS = 1024
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -109,10 +111,9 @@ def layout(band: int, share: float, t: Fraction, load: float = 1.25, deletion_lo
     return Layout(band, max(need, int(top * (1 - share) / load) + 2), deletion, share)
 
 
-def signatures(s: np.ndarray, lay: Layout, native: bool, t: Fraction, hot: np.ndarray, rare: list | None = None, every: bool = False) -> np.ndarray:
+def signatures(s: np.ndarray, lay: Layout, native: bool, t: Fraction, hot: np.ndarray, every: bool = False) -> np.ndarray:
     """The signatures of a set (sorted hashes) in a layout; ``hot`` is a sorted array of frequent ones.
 
-    ``rare`` gets the subset segments of the signatures that come before any hot one;
     ``every`` gives all signatures of subsets that aren't empty.
     """
     size = len(s)
@@ -151,9 +152,7 @@ def signatures(s: np.ndarray, lay: Layout, native: bool, t: Fraction, hot: np.nd
             late = hot[at] == sig
         if len(sig) > room:
             first = np.lexsort((sig, late))[:room]
-            sig, used, late = sig[first], used[first], late[first]
-        if rare is not None:
-            rare.append(used[~late])
+            sig, used = sig[first], used[first]
         if len(sig) < room and not every:
             free = np.setdiff1d(np.arange(lay.plain, dtype=np.uint64), used)[: room - len(sig)]
             sig = np.concatenate([sig, mix(mix(seed) + free)])
@@ -161,14 +160,13 @@ def signatures(s: np.ndarray, lay: Layout, native: bool, t: Fraction, hot: np.nd
     return np.unique(np.concatenate(out)) if out else EMPTY
 
 
-def rare_mask(s: np.ndarray, lay: Layout, native: bool, t: Fraction, hot: np.ndarray) -> list[int]:
-    """512 bits, as eight longs: the segments of the rare subset signatures, modulo 512."""
-    rare: list = []
-    signatures(s, lay, native, t, hot, rare)
-    bits = np.zeros(512, dtype=np.uint8)
-    for x in rare:
-        bits[(x % np.uint64(512)).astype(np.int64)] = 1
-    return np.packbits(bits).view("<i8").tolist()
+def odd_sketch(s: np.ndarray) -> list[int]:
+    """For each of SKETCH_BITS buckets whether an odd number of the set's hashes falls into it, as longs.
+
+    Two sets' sketches differ in at most as many bits as the sets differ in hashes.
+    """
+    count = np.bincount((mix(s ^ M2) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS)
+    return np.packbits((count & 1).astype(np.uint8)).view("<i8").tolist()
 
 
 def laid_out(size: int, t: Fraction) -> list[tuple[int, bool]]:
@@ -195,9 +193,9 @@ def _overlaps(a: np.ndarray, b: np.ndarray, t: Fraction) -> bool:
 class NgramJoin:
     """See the module. ``fit`` returns one row per document: doc_id, n_shingles, component_id."""
 
-    def __init__(self, words: int = 5, threshold: Fraction = Fraction(4, 5), sample: int = 400, hot_rate: int = 8, hot_count: int = 4, max_hot: int = 1_000_000, salts: int = 16, rounds: int = 1):
+    def __init__(self, words: int = 5, threshold: Fraction = Fraction(4, 5), sample: int = 400, hot_rate: int = 8, hot_count: int = 4, max_hot: int = 1_000_000, salts: int = 16, rounds: int = 1, part: int = 512):
         self.words, self.t, self.sample = words, threshold, sample
-        self.hot_rate, self.hot_count, self.max_hot, self.salts, self.rounds = hot_rate, hot_count, max_hot, salts, rounds
+        self.hot_rate, self.hot_count, self.max_hot, self.salts, self.rounds, self.part = hot_rate, hot_count, max_hot, salts, rounds, part
 
     # classes ------------------------------------------------------------
 
@@ -335,37 +333,43 @@ class NgramJoin:
 
     # verification -------------------------------------------------------
 
-    def texts(self, docs: DataFrame, classes: DataFrame, cids: DataFrame, layouts: dict[int, Layout], hot: np.ndarray) -> DataFrame:
-        """(cid, n, text, band, own, guest): one text for each class that a candidate needs, with its masks of rare segments."""
-        words, t, shared = self.words, self.t, share(docs.sparkSession, (layouts, hot))
-        owners = classes.where("doc_id is not null").join(cids, "cid", "left_semi").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
+    def texts(self, docs: DataFrame, classes: DataFrame, cids: DataFrame) -> DataFrame:
+        """(cid, n, text, sketch): one text for each class that a candidate needs."""
+        words = self.words
+        owners = classes.where("doc_id is not null").join(cids, "cid", "left_semi").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
         rows = docs.select("doc_id", "text").join(owners, "doc_id").select("cid", "text")
         rows = rows.unionByName(docs.where("doc_id is null").select(F.lit(None).cast("long").alias("cid"), "text"))
 
         def run(batches):  # a repeated id may have other texts
             shingle = Shingler(words)
-            lays, late = shared()
             for b in batches:
                 out = []
                 for c, text in zip(b.column("cid").to_pylist(), b.column("text").to_pylist(), strict=True):
                     s = shingle(text)
                     own = class_of(s)[0] if len(s) else None
                     if own is not None and c in (None, own):
-                        masks = [rare_mask(s, lays[band], native, t, late) for band, native in laid_out(len(s), t)]
-                        out.append((own, len(s), text, band_of(len(s)), masks[0], masks[-1]))
+                        out.append((own, len(s), text, odd_sketch(s)))
                 if out:
-                    types = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*out, strict=True), types, strict=True)], ["cid", "n", "text", "band", "own", "guest"])
+                    types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*out, strict=True), types, strict=True)], ["cid", "n", "text", "sketch"])
+
+        return written(arrow_map(rows, run, "cid long, n long, text string, sketch array<long>").dropDuplicates(["cid"]), "ngram-texts")
 
-        return written(arrow_map(rows, run, "cid long, n long, text string, band int, own array<long>, guest array<long>").dropDuplicates(["cid"]), "ngram-texts")
+    def _near(self):
+        """Whether classes with sizes n_a, n_b and sketches sketch_a, sketch_b may be linked; never false for linked ones."""
+        up, down = self.t.numerator, self.t.denominator
+        sizes = (F.col("n_a") * up <= F.col("n_b") * down) & (F.col("n_b") * up <= F.col("n_a") * down)
+        apart = sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
+        return sizes & (apart * (up + down) <= (F.col("n_a") + F.col("n_b")) * (down - up))
 
     def verified(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        """The pairs (a, b) of classes that are linked."""
+        """The pairs (a, b) of classes that are linked. Sizes and sketches are compared before texts are brought together."""
         words, t = self.words, self.t
-        left = texts.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("text").alias("ta"))
-        right = texts.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("text").alias("tb"))
-        sizes = (F.col("na") * t.numerator <= F.col("nb") * t.denominator) & (F.col("nb") * t.numerator <= F.col("na") * t.denominator)
-        rows = pairs.join(left, "a").join(right, "b").where(sizes).select("a", "b", "ta", "tb")
+        ends = [texts.select(F.col("cid").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "sketch")]) for c in ("a", "b")]
+        near = written(pairs.join(ends[0], "a").join(ends[1], "b").where(self._near()).select("a", "b"), "ngram-near")
+        left = texts.select(F.col("cid").alias("a"), F.col("text").alias("ta"))
+        right = texts.select(F.col("cid").alias("b"), F.col("text").alias("tb"))
+        rows = near.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
 
         def run(batches):
             shingle, sets = Shingler(words), {}
@@ -391,19 +395,19 @@ class NgramJoin:
         hot = self.hot_signatures(docs, lays)
         members = self.members(self._emitted(docs, lays, hot))
         found = members.select("cid").distinct()
-        texts = self.texts(docs, classes, found, lays, hot)
+        texts = self.texts(docs, classes, found)
         tops = members.where("salt > 0 and cid = center").groupBy("sig").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).where("a <> z")
         salted = members.where("salt > 0 and cid = center").join(tops, "sig").select("a", F.col("cid").alias("b"))
         pairs = _ordered(members.select(F.col("center").alias("a"), F.col("cid").alias("b")).unionByName(salted))
         tried = written(pairs, "ngram-pairs")
         links = written(self.verified(tried, texts), "ngram-links")
         labels = components(links)
-        groups = members.select("sig", "cid", (F.col("salt") > 0).alias("hot")).distinct()
+        groups = members.select("sig", "cid").distinct()
         sizes = texts.drop("text")
         for k in range(self.rounds + 1):
             open_ = groups.join(labels.withColumnRenamed("v", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
             open_ = written(open_, "ngram-open")
-            mixed = open_.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
+            mixed = open_.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("sig", "size")
             if k < self.rounds:  # one class of each component, chosen anew each round, against that of the first
                 heads = open_.join(mixed, "sig").groupBy("sig", "label").agg(F.min_by("cid", F.xxhash64(F.lit(k), "cid")).alias("cid"))
                 first = heads.groupBy("sig").agg(F.min(F.struct(F.xxhash64(F.lit(k), "label").alias("h"), "label", "cid")).alias("f"))
@@ -427,22 +431,58 @@ class NgramJoin:
         empty = classes.where("cid is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
         return classes.where("cid is not null").join(final, "cid").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
 
-
     def _remaining(self, open_: DataFrame) -> DataFrame:
-        """Pairs of one signature in different components whose sizes fit.
+        """Pairs of one signature in different components that sizes and sketches leave possible.
 
-        At a hot signature a pair counts only if it shares no rare one (else that
-        one brings it). Then all segments of either's rare subset signatures differ, so
-        their number, counted modulo 512, must not exceed the allowed distance.
+        The classes of a signature meet in a sorted stream; only pairs that pass are emitted. Of a signature
+        with over ``part`` classes, parts of about that many (side 0, kept in memory) each meet
+        all its classes (side 1, streamed); of a smaller one every class meets those before it (side 2).
         """
-        t = self.t
-        x = open_.select("sig", "hot", *[F.col(c).alias(f"{c}_a") for c in ("cid", "label", "n", "band", "own")])
-        y = open_.select("sig", *[F.col(c).alias(f"{c}_b") for c in ("cid", "label", "n", "band", "own", "guest")])
-        fits = (F.col("label_a") != F.col("label_b")) & ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("cid_a") < F.col("cid_b")))) & (F.col("n_b") * t.numerator <= F.col("n_a") * t.denominator)
-        other = F.when(F.col("band_a") == F.col("band_b"), F.col("own_b")).otherwise(F.col("guest_b"))
-        apart = sum((F.bit_count(F.col("own_a")[i].bitwiseOR(other[i])) for i in range(8)), F.lit(0))
-        near = apart * (t.numerator + t.denominator) <= (F.col("n_a") + F.col("n_b")) * (t.denominator - t.numerator)
-        return x.join(y, "sig").where(fits & (~F.col("hot") | near)).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"))
+        parts = F.ceil(F.col("size") / self.part).cast("int")
+        cols = ["cid", "label", "n", "sketch"]
+        few = open_.where(parts == 1).select("sig", F.lit(0).alias("part"), F.lit(2).alias("side"), *cols)
+        many = open_.where(parts > 1)
+        held = many.select("sig", F.pmod(F.xxhash64("cid"), parts).cast("int").alias("part"), F.lit(0).alias("side"), *cols)
+        passing = many.select("sig", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(1).alias("side"), *cols)
+        up, down = self.t.numerator, self.t.denominator
+
+        def run(batches):
+            carry = None
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                cols = [b.column(c).to_numpy() for c in ("sig", "part", "side", "cid", "label", "n")]
+                cols.append(b.column("sketch").flatten().to_numpy().reshape(-1, SKETCH_BITS // 64))
+                old = 0 if carry is None else len(carry[0])
+                if old:
+                    cols = [np.concatenate(x) for x in zip(carry, cols, strict=True)]
+                sig, part, side, cid, label, n, sketch = cols
+                at = np.arange(len(sig))
+                new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (part[1:] != part[:-1])])
+                start = at[new][np.cumsum(new) - 1]
+                kept = np.cumsum(side == 0)
+                stop = np.where(side == 2, at, start + kept - (kept - (side == 0))[start])
+                right = at[old:][side[old:] > 0]
+                for rows in blocks(right, (stop - start)[right]):
+                    many = (stop - start)[rows]
+                    r = np.repeat(rows, many)
+                    x = np.arange(len(r)) - np.repeat(np.cumsum(many) - many - start[rows], many)
+                    ok = (label[x] != label[r]) & ((side[r] == 2) | (cid[x] < cid[r])) & (n[x] * up <= n[r] * down) & (n[r] * up <= n[x] * down)
+                    x, r = x[ok], r[ok]
+                    apart = np.bitwise_count(sketch[x] ^ sketch[r]).sum(axis=1, dtype=np.int64)
+                    ok = apart * (up + down) <= (n[x] + n[r]) * (down - up)
+                    if ok.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(cid[x[ok]]), pa.array(cid[r[ok]])], ["a", "b"])
+                last = (at >= start[-1]) & (side != 1)
+                carry = [c[last] for c in cols]
+
+        def blocks(rows, many, limit=50_000):
+            """Consecutive rows whose numbers of pairs add up to about the limit."""
+            total = np.cumsum(many) // limit
+            return np.split(rows, np.flatnonzero(total[1:] != total[:-1]) + 1) if len(rows) else []
+
+        dealt = few.unionByName(held).unionByName(passing).repartition("sig", "part").sortWithinPartitions("sig", "part", "side", "cid")
+        return arrow_map(dealt, run, "a long, b long")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:

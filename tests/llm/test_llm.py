@@ -103,7 +103,7 @@ def corpus(seed, n):
     return [" ".join(x) for x in texts] + ODD
 
 
-@pytest.mark.parametrize("params", [{}, {"hot_rate": 1, "hot_count": 2, "rounds": 1}])
+@pytest.mark.parametrize("params", [{"part": 3, "rounds": 0}, {"hot_rate": 1, "hot_count": 2, "rounds": 1}])
 def test_join_equals_brute_force(spark, params):
     texts = corpus(4, 45)
     ids = list(range(100, 100 + len(texts)))
