@@ -36,7 +36,6 @@ Texts are read whole; repeated rows are copies.
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -59,30 +58,42 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Sorted distinct 64-bit hashes of a text's word shingles; A-Z lower-cased, words split at ASCII white space."""
+    """Sorted distinct 64-bit hashes of a text's word shingles; A-Z lower-cased, words split at ASCII white space.
 
-    def __init__(self, words: int = 5, limit: int = 500_000):
-        self.words, self.limit, self.known = words, limit, {}
-        self.powers = [np.uint64(pow(0x9E3779B97F4A7C15, j + 1, 1 << 64)) for j in range(words)]
+    A word's hash is its polynomial in an odd base, from running sums over the text's bytes.
+    """
+
+    def __init__(self, words: int = 5):
+        self.words = words
+        self.factors = [np.uint64(pow(0x9E3779B97F4A7C15, j + 1, 1 << 64)) for j in range(words)]
+        self.space = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+        self.letters = mix(mix(np.arange(1, 257, dtype=np.uint64) * M1))
+        self.up = self.down = EMPTY
+
+    def _powers(self, n: int) -> None:
+        n = max(4096, 1 << n.bit_length())
+        base = 0xD1342543DE82EF95
+        self.up, self.down = (np.cumprod(np.full(n, x, dtype=np.uint64)) for x in (base, pow(base, -1, 1 << 64)))
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().lower().split()  # bytes: only A-Z, only U+0009-000D and space
-        if not words:
+        raw = np.frombuffer(b" " + (text or "").encode().lower() + b" ", dtype=np.uint8)  # bytes: only A-Z, only U+0009-000D and space
+        if len(raw) > len(self.up):
+            self._powers(len(raw))
+        space = self.space[raw]
+        edges = np.flatnonzero(space[1:] != space[:-1])  # the byte before each word, its last byte
+        before, last = edges[::2], edges[1::2]
+        if not len(before):
             return EMPTY
-        known = self.known
-        found = list(map(known.get, words))
-        if None in found:
-            if len(known) > self.limit:
-                known.clear()
-            for i, w in enumerate(words):
-                if found[i] is None:
-                    found[i] = known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-        h, k = np.array(found, dtype=np.uint64), min(self.words, len(words))
+        total = np.cumsum(self.letters[raw] * self.up[: len(raw)])
+        h = mix((total[last] - total[before]) * self.down[before] + (last - before).astype(np.uint64) * M2)
+        k = min(self.words, len(h))
         n = len(h) - k + 1
-        total = np.full(n, k * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+        out = np.full(n, k * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
         for j in range(k):
-            total += h[j : j + n] * self.powers[j]
-        return np.unique(mix(total))
+            out += h[j : j + n] * self.factors[j]
+        out = mix(out)
+        out.sort()
+        return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 @dataclass(frozen=True)
@@ -151,13 +162,18 @@ def signatures(s: np.ndarray, lay: Layout, native: bool, t: Fraction, hot: np.nd
             at = np.minimum(np.searchsorted(hot, sig), len(hot) - 1)
             late = hot[at] == sig
         if len(sig) > room:
-            first = np.lexsort((sig, late))[:room]
-            sig, used = sig[first], used[first]
+            rare = sig[~late]
+            if len(rare) > room:
+                sig = np.partition(rare, room - 1)[:room]
+            elif len(rare) < room:
+                sig = np.concatenate([rare, np.partition(sig[late], room - len(rare) - 1)[: room - len(rare)]])
+            else:
+                sig = rare
         if len(sig) < room and not every:
             free = np.setdiff1d(np.arange(lay.plain, dtype=np.uint64), used)[: room - len(sig)]
             sig = np.concatenate([sig, mix(mix(seed) + free)])
         out.append(sig)
-    return np.unique(np.concatenate(out)) if out else EMPTY
+    return np.unique(np.concatenate(out)) if len(out) > 1 else out[0] if out else EMPTY
 
 
 def odd_sketch(s: np.ndarray) -> list[int]:
