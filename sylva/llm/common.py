@@ -48,8 +48,8 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str) ->
     return df.mapInArrow(fn, schema)
 
 
-def per_process(key, make: Callable, limit: int = 16):
-    """``make()``, kept for later tasks of the same Python worker (functions arrive anew with every task)."""
+def per_process(key, make: Callable, limit: int = 2):
+    """``make()``, kept for later tasks of the same Python worker (functions arrive anew with every task); few, since workers outlive queries."""
     store = sys.modules.setdefault("_sylva_process", types.ModuleType("_sylva_process")).__dict__.setdefault("kept", {})
     if key not in store:
         while len(store) >= limit:
