@@ -41,7 +41,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
     words = F.least(F.col("size"), F.col("taken") - F.col("size") * (F.col("copy") - 1))
-    some = F.expr(r"regexp_extract(text, concat('(?s)^([ \\t-\\r]*+(?:[^ \\t-\\r]++[ \\t-\\r]*+){', cast(words as string), '})'), 1)")
+    # the words as an array: a regex group repeated once a word would recurse as deep in the JVM
+    lead, parts = F.regexp_extract("text", r"^[ \t-\r]*+", 0), F.regexp_extract_all("text", F.lit(r"[^ \t-\r]++[ \t-\r]*+"), F.lit(0))
+    some = F.concat(lead, F.array_join(F.slice(parts, F.lit(1), F.col("words").cast("int")), ""))
     out = out.withColumn("words", words).withColumn("text", F.when(F.col("words") < F.col("size"), some).otherwise(F.col("text")))
     return out.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 

@@ -373,6 +373,23 @@ def test_mix(spark):
 # --- pipeline ---
 
 
+def test_long_documents_are_cut(spark):
+    import corpus_pipeline
+
+    r = random.Random(4)
+    space = lambda: "".join(r.choice(" \t\n\r\x0b") for _ in range(r.choice([1, 1, 1, 3])))
+    texts = [space() + "".join(f"é{i}{space()}" for i in range(20_000)) for _ in range(3)]
+    docs = frame(spark, texts, None, ["x", "y", "z"])
+    got = sorted(corpus_pipeline.mix_sources(spark, docs, "").collect(), key=lambda x: (x["doc_id"], -x["n_chars"]))
+    cut = [x for x in got if x["text"] != texts[x["doc_id"]]]
+    assert [len(words(x["text"])) for x in cut] == [10_000, 10_000]
+    for x in cut:
+        n = len(words(x["text"]))
+        assert x["text"] == re.match(r"[\t-\r ]*(?:[^\t-\r ]+[\t-\r ]*){%d}" % n, texts[x["doc_id"]])[0] and x["n_chars"] == len(x["text"])
+    taken, _ = mixing.mix(docs, F.array("source"))
+    assert {x["doc_id"]: x["taken"] for x in taken.where("taken > 0").collect()} == {i: sum(len(words(x["text"])) for x in got if x["doc_id"] == i) for i in {x["doc_id"] for x in got}}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
