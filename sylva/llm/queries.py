@@ -12,7 +12,7 @@ RULES = [
     url_filter.Rule("block", "example.net", "/de/8"), url_filter.Rule("block", "org", "/es/"),
 ]
 #: The blocklist: registered names of spam hosts under the corpus's three domains.
-LISTED = [f"{name}.example.{tld}" for name in ("cheap-pills", "ads-track", "free-bets", "adult-x") for tld in ("com", "net", "org")]
+LISTED = [f"{name}.example.{tld}" for name in ("cheap-pills", "casino-win", "ads-track", "free-bets", "adult-x", "spam-farm") for tld in ("com", "net", "org")]
 
 
 def vocabulary(name: str) -> str:

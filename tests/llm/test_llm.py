@@ -1,6 +1,7 @@
 """Operators of sylva.llm against brute force, exact round trips and reference tokenizers."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
-from sylva.llm import bpe, chat, html_text, media, mixing, ngram_join, quality, token_count, toxicity, url_filter
+from sylva.llm import bpe, chat, html_text, media, mixing, ngram_join, quality, queries, token_count, toxicity, url_filter
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -57,6 +58,17 @@ def test_cascade_is_exact(spark):
     assert {r["key"] for r in out if r["hit"]} == bad
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_every_spam_host_is_listed(spark, sf):
+    """In the tables only spam hosts have a hyphen in the registered name."""
+    path = f"/root/testdata/{sf}"
+    if not os.path.isdir(path):
+        pytest.skip("no test tables")
+    pages = queries.op1_url_filter(spark, path).select("host", "listed").collect()
+    spam = [r for r in pages if re.search(r"(^|\.)[^.]*-[^.]*\.example\.(com|net|org)$", r["host"])]
+    assert spam and all(r["listed"] for r in spam) and sum(r["listed"] for r in pages) == len(spam)
+
+
 # --- 2 ---
 
 
