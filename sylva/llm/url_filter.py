@@ -39,8 +39,9 @@ def host_of(url: Column) -> Column:
 
 
 def path_of(url: Column) -> Column:
-    """After the host, up to ``?``, ``#`` or the end."""
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    """After the host, up to ``?``, ``#`` or the end; empty if no ``/`` follows the host."""
+    # the path is optional, so the match never moves on to a later ://
+    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*((?:/[^?#]*)?)", 1), F.lit(""))
 
 
 def parent_domains(host: Column) -> Column:

@@ -47,6 +47,15 @@ def test_url_parts_and_rules(spark):
     assert empty.count() == 0
 
 
+def test_path_belongs_to_the_first_host(spark):
+    urls = ["http://a.com?u=http://b.com/en/7", "http://a.com#x://b.com/en/7", "http://a.com/de/?u=http://b.com/en/7", "http://a.com", "http://a.com/", "a?b://c.com/en/1", "http://a.com\n?u=x://b/en/7", "http://a.com/en/" + "x" * 50_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    listed = spark.createDataFrame([("b.com",)], "key string")
+    got = {r["page_id"]: r for r in url_filter.filter_urls(pages, listed, [url_filter.Rule("block", "com", "/en/")]).collect()}
+    assert [got[i]["path"] for i in range(7)] == ["", "", "/de/", "", "/", "/en/1", ""] and len(got[7]["path"]) == 50_004
+    assert [got[i]["verdict"] for i in range(8)] == ["allow"] * 5 + ["block", "allow", "block"]
+
+
 def test_cascade_is_exact(spark):
     keys = [f"k{i}" for i in range(5000)]
     bad = set(random.Random(3).sample(keys, 700))
