@@ -122,15 +122,15 @@ STRATEGIES = {"Uniform": uniform_borders, "Median": median_borders, "UniformAndQ
 def select_borders(df: DataFrame, features: list[str], count: int = 254, strategy: str = "GreedyLogSum", nan_mode: str = "Min", sample_rows: int = 200_000, row_id: str | None = None) -> dict[str, list[float]]:
     """Borders of every feature, sorted; a feature with missing values spends one on them (not in mode Forbidden).
 
-    Tables of more than ``sample_rows`` rows are sampled by a hash of the row id (or of the values).
+    Tables of more than ``sample_rows`` rows are sampled by a hash of the row id (or of the values); missing values are looked for in all rows.
     """
     if nan_mode not in ("Min", "Max", "Forbidden"):
         raise ValueError(f"unknown NaN mode {nan_mode!r}")
     own = df.select(*([row_id] if row_id else []), *features)
-    n = own.count()
+    found = own.agg(F.count(F.lit(1)), *[F.max((F.col(f).isNull() | F.isnan(F.col(f).cast("double"))).cast("int")) for f in features]).collect()[0]
+    n, missing = found[0], dict(zip(features, found[1:], strict=True))
     if n > sample_rows:
         own = own.where(F.pmod(F.xxhash64(*([row_id] if row_id else features)), F.lit(1 << 20)) < int((1 << 20) * sample_rows / n))
-    missing = own.agg(*[F.max((F.col(f).isNull() | F.isnan(F.col(f).cast("double"))).cast("int")).alias(f) for f in features]).collect()[0]
     if nan_mode == "Forbidden" and any(missing[f] for f in features):
         raise ValueError("missing values are forbidden: " + ", ".join(f for f in features if missing[f]))
     out: dict[str, list[float]] = {f: [] for f in features}

@@ -135,6 +135,19 @@ def test_missing_values(spark):
     assert t.leaf_of(np.array([[np.nan], [0.5], [1.0], [1.5]], dtype=np.float32)).tolist() == [2, 1, 1, 2]
 
 
+def test_missing_values_outside_the_sample(spark):
+    df = spark.range(4000).select("id", F.when(F.col("id") != 17, F.col("id").cast("double")).alias("x"), F.when(F.col("id") != 18, F.col("id") / 2).otherwise(float("nan")).alias("y"))
+    for kind in ("Uniform", "GreedyLogSum"):
+        for row_id in ("id", None):
+            low, top = (binning.select_borders(df, ["x", "y"], 5, kind, mode, 100, row_id) for mode in ("Min", "Max"))
+            for f, i in (("x", 17), ("y", 18)):
+                assert low[f][0] == binning.F32_MIN and top[f][-1] == F32_MAX and low[f][1:] == top[f][:-1] and len(low[f]) == 5
+                bins = {r["id"]: (r["a"], r["b"]) for r in df.select("id", binning.bin_of(F.col(f), low[f]).alias("a"), binning.bin_of(F.col(f), top[f]).alias("b")).collect()}
+                assert bins.pop(i) == (0, 5) and {a for a, _ in bins.values()} == {1, 2, 3, 4, 5} and {b for _, b in bins.values()} == {0, 1, 2, 3, 4}
+            with pytest.raises(ValueError):
+                binning.select_borders(df, ["x", "y"], 5, kind, "Forbidden", 100, row_id)
+
+
 def test_exact_borders_are_optimal():
     from itertools import combinations
 
