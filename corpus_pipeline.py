@@ -27,17 +27,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document with the smallest id stays, once; rows with null ids stay only if no other row has their group."""
-    groups = ngram_join.NgramJoin().fit(docs)
-    keep = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Of each group the document with the smallest id stays, once; a row with a null id stays only if its group has no other.
+
+    A row is named by its id and text, so rows with null ids and several texts of one id are told apart.
+    Documents without words are in no group and stay.
+    """
+    docs = docs.select(*COLUMNS).withColumn("text_hash", F.sha2("text", 256))
+    classes, labels = ngram_join.NgramJoin().groups(docs, "text_hash")
+    named = classes.where("cid is not null").join(labels, "cid", "left").groupBy(F.coalesce("label", "cid").alias("label"))
+    first = named.agg(F.min(F.struct(F.isnull("doc_id").alias("unknown"), "doc_id", "cid", "text_hash")).alias("first"))
+    keep = first.select("first.doc_id", "first.text_hash").unionByName(classes.where("cid is null").select("doc_id", "text_hash")).distinct()
+    same = docs["doc_id"].eqNullSafe(keep["doc_id"]) & docs["text_hash"].eqNullSafe(keep["text_hash"])
+    return docs.join(keep, same, "left_semi").dropDuplicates(["doc_id", "text_hash"]).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it; what is taken in part is cut after its last word taken."""
-    docs = docs.select(*COLUMNS)
-    taken, _ = mixing.mix(docs, F.array("source"))
-    out = docs.join(taken.where("taken > 0").select("doc_id", "size", "taken"), "doc_id")
+    taken, _ = mixing.mix(docs.select(*COLUMNS), F.array("source"), keep=("text", "lang", "source"))
+    out = taken.where("taken > 0")
     copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
     words = F.least(F.col("size"), F.col("taken") - F.col("size") * (F.col("copy") - 1))

@@ -99,14 +99,14 @@ def min_cost_flow(supply: list[list[tuple[int, int]]], arcs: list[list[int]], qu
     return [[(1 << 62) - graph[p][k][1] for k in at[p]] for p in range(n)]
 
 
-def mix(docs: DataFrame, members: Column, weights=lambda i: float(1 + i % 3), repeats: int = 3, seed: int = 11, max_arcs: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, members: Column, weights=lambda i: float(1 + i % 3), repeats: int = 3, seed: int = 11, max_arcs: int = 20_000, keep: tuple[str, ...] = ()) -> DataFrame:
     """Plan the mix of ``docs`` (doc_id, text); ``members`` is an array of source names per document (a null name is a source).
 
     Returns doc_id, size, members, taken (words, repeats counted), order (the
-    hash). ``weights`` gives the weight of the i-th source by code point, null last.
+    hash) and the columns ``keep`` of every row. ``weights`` gives the weight of the i-th source by code point, null last.
     """
     key = F.xxhash64(F.lit(seed), "doc_id", F.col("text"))
-    d = docs.select("doc_id", F.size(words_of(F.col("text"))).cast("long").alias("size"), F.array_sort(F.array_distinct(members)).alias("members"), key.alias("order"))
+    d = docs.select("doc_id", F.size(words_of(F.col("text"))).cast("long").alias("size"), F.array_sort(F.array_distinct(members)).alias("members"), key.alias("order"), *keep)
     d = written(d.withColumn("bucket", F.shiftrightunsigned("order", 54)), "mix-sizes")  # BUCKETS = 2 ** 10
     hist = d.groupBy("members", "bucket").agg(F.sum("size").alias("words"))
     pattern_words: dict[tuple, int] = {}
@@ -127,7 +127,7 @@ def mix(docs: DataFrame, members: Column, weights=lambda i: float(1 + i % 3), re
     flow = min_cost_flow([[(pattern_words[p], c) for c in range(repeats)] for p in patterns], [[number[x] for x in p] for p in patterns], [round(t) for t in targets])
     quota = {p: sum(f) for p, f in zip(patterns, flow, strict=True)}
     plan = _cuts(d, hist, patterns, pattern_words, quota)
-    out = _take(d, plan)
+    out = _take(d, plan, keep)
     info = out.sparkSession.createDataFrame([(x, s, t) for x, s, t in zip(names, sizes, targets, strict=True)], "source string, source_size long, target double")
     return out, info
 
@@ -146,11 +146,11 @@ def _cuts(d: DataFrame, hist: DataFrame, patterns: list, words: dict, quota: dic
     return plan.join(cut.select("pattern", F.col("bucket").alias("cut"), (F.col("rest") - F.col("before")).alias("left")), "pattern", "left")
 
 
-def _take(d: DataFrame, plan: DataFrame) -> DataFrame:
+def _take(d: DataFrame, plan: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """Words taken of every document. Only the cut buckets are sorted, a thousandth of each pattern."""
     x = d.join(F.broadcast(plan), "members").withColumn("at_cut", F.coalesce(F.col("bucket") == F.col("cut"), F.lit(False)))
     base = F.col("size") * F.col("whole")
     sure = x.where(~F.col("at_cut")).withColumn("taken", base + F.when(F.coalesce(F.col("bucket") < F.col("cut"), F.lit(False)), F.col("size")).otherwise(F.lit(0).cast("long")))
     run = F.coalesce(F.sum("size").over(Window.partitionBy("pattern").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     edge = x.where("at_cut").withColumn("taken", base + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("left") - run)))
-    return sure.unionByName(edge).select("doc_id", "size", "members", F.col("taken").cast("long").alias("taken"), "order")
+    return sure.unionByName(edge).select("doc_id", "size", "members", F.col("taken").cast("long").alias("taken"), "order", *keep)

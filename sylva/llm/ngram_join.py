@@ -215,8 +215,8 @@ class NgramJoin:
 
     # classes ------------------------------------------------------------
 
-    def classes(self, docs: DataFrame) -> DataFrame:
-        """doc_id, n, cid: the class of each document; cid null for empty sets."""
+    def classes(self, docs: DataFrame, *keep: str) -> DataFrame:
+        """doc_id, n, cid and the columns ``keep``: the class of each document; cid null for empty sets."""
         words = self.words
 
         def run(batches):
@@ -229,9 +229,11 @@ class NgramJoin:
                     n.append(len(s))
                     c1.append(x)
                     c2.append(y)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64())], ["doc_id", "n", "cid", "check"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), *[b.column(k) for k in keep]], ["doc_id", "n", "cid", "check", *keep])
 
-        out = written(arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n long, cid long, check long"), "ngram-classes")
+        rows = docs.select("doc_id", "text", *keep)
+        kept = "".join(f", {k} {rows.schema[k].dataType.simpleString()}" for k in keep)
+        out = written(arrow_map(rows, run, "doc_id long, n long, cid long, check long" + kept), "ngram-classes")
         clash = out.where("cid is not null").groupBy("cid").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo <> hi").limit(1).count()
         if clash:
             raise RuntimeError("two shingle sets have one 64-bit hash; run again with other multipliers")
@@ -404,9 +406,9 @@ class NgramJoin:
 
     # components ---------------------------------------------------------
 
-    def fit(self, docs: DataFrame) -> DataFrame:
-        docs = docs.select("doc_id", "text")
-        classes = self.classes(docs)
+    def groups(self, docs: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame]:
+        """``classes`` of the documents, and (cid, label) of linked ones: classes with one label are one group, a class without is its own."""
+        classes, docs = self.classes(docs, *keep), docs.select("doc_id", "text")
         lays = self.layouts(docs, classes.count())
         hot = self.hot_signatures(docs, lays)
         members = self.members(self._emitted(docs, lays, hot))
@@ -440,8 +442,12 @@ class NgramJoin:
             if more.limit(1).count():
                 links = links.unionByName(more)
                 labels = components(links)
+        return classes, labels.withColumnRenamed("v", "cid")
+
+    def fit(self, docs: DataFrame) -> DataFrame:
+        classes, labels = self.groups(docs)
         named = classes.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"))
-        named = named.join(labels.withColumnRenamed("v", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+        named = named.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
         least = named.groupBy("label").agg(F.min("least").alias("component_id"))
         final = named.join(least, "label").select("cid", "component_id")
         empty = classes.where("cid is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))

@@ -411,6 +411,27 @@ def test_long_documents_are_cut(spark):
     assert {x["doc_id"]: x["taken"] for x in taken.where("taken > 0").collect()} == {i: sum(len(words(x["text"])) for x in got if x["doc_id"] == i) for i in {x["doc_id"] for x in got}}
 
 
+def test_rows_are_not_named_by_ids_alone(spark):
+    import corpus_pipeline
+
+    r = random.Random(6)
+    a, b, c, d, e = (" ".join(f"w{r.randrange(5000)}" for _ in range(80)) for _ in range(5))
+    rows = [(1, a), (2, a + " end"), (2, b), (None, b), (None, c), (None, c + " end"), (None, d), (3, c + " x y"), (4, e), (4, e), (None, e), (5, a), (5, d + " z z z")]
+    rows += [(6, ""), (None, " "), (None, None)]
+    docs = frame(spark, [t for _, t in rows], [i for i, _ in rows]).repartition(3)
+    assert docs.where("doc_id is null").count() == 7
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] is None, x[1] or "")
+    got = sorted(((x["doc_id"], x["text"]) for x in kept.collect()), key=key)
+    assert got == sorted([(1, a), (2, b), (3, c + " x y"), (4, e), (5, d + " z z z"), (6, ""), (None, " "), (None, None)], key=key)
+    alone = corpus_pipeline.near_duplicates(spark, docs.where("doc_id is null"), "").where("n_chars > 1").collect()
+    assert sorted(words(x["text"])[0] for x in alone) == sorted(words(t)[0] for t in (b, c, d, e)) and all(x["doc_id"] is None for x in alone)
+    rows = [(None, a), (None, b), (7, c), (7, d), (8, e)]
+    docs = frame(spark, [t for _, t in rows], [i for i, _ in rows])
+    mixed = sorted(((x["doc_id"], x["text"]) for x in corpus_pipeline.mix_sources(spark, docs, "").collect()), key=key)
+    assert mixed == sorted(rows, key=key)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
