@@ -1,10 +1,9 @@
-"""What the operators of this package share: tables, the shared folder, batches."""
+"""Shared helpers: tables in the shared folder, Arrow maps, broadcasts that are unpickled once a process."""
 
 from __future__ import annotations
 
 import pickle
 import sys
-import tempfile
 import types
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,8 +11,8 @@ from collections.abc import Callable, Iterator
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of an Arrow batch. Texts have no length limit, so batches hold few.
-BATCH_ROWS = 1000
+#: Bytes of an Arrow batch; texts have no length limit, so rows alone would not bound it (one row may still be larger).
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,30 +20,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that driver and executors share.
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir`` or what ``setCheckpointDir`` was given.
 
-    It is the session's ``spark.checkpoint.dir`` (or what ``setCheckpointDir``
-    was given); only a session without one gets a local folder.
+    A session of one machine (master ``local``) without one gets a folder under the warehouse; a cluster without one is an error,
+    since a folder of one machine is invisible to the others.
     """
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
-    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sylva-"))
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir')}/sylva-shared"
+    sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors. ``discard`` deletes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that nothing reads any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        path = jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
-    """``mapInArrow`` with batches of few rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """``mapInArrow`` with batches of bounded bytes. Spark reads the limit when the plan runs, so the session keeps it."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
 
