@@ -60,6 +60,7 @@ LATE, SALT_BITS, BAND_BITS = np.uint64(1 << 63), 4, 6
 HASHED = np.uint64(((1 << 63) - 1) >> (SALT_BITS + BAND_BITS) << (SALT_BITS + BAND_BITS))
 UNSALTED = np.uint64((1 << 64) - (1 << SALT_BITS))
 CHUNK = 64  # classes in a list
+FIRST = 8  # of a class's lists, carried along
 MIN_SKETCH, MAX_SKETCH = 1 << 10, 1 << 16  # bits
 
 
@@ -567,7 +568,8 @@ class NgramJoin:
                 new = heads.join(first, "gid").where("label <> f.label").select(F.col("f.cid").alias("a"), F.col("cid").alias("b"))
                 new = written(self.near(_ordered(new), sets), "ngram-near")
             else:
-                new = written(_ordered(self._remaining(open_.join(sets.select("cid", "n", "sketch"), "cid"))), "ngram-near")
+                firsts = open_.groupBy("cid").agg(F.slice(F.array_sort(F.collect_list("gid")), 1, FIRST).alias("firsts"))
+                new = written(_ordered(self._remaining(open_.join(sets.select("cid", "n", "sketch").join(firsts, "cid"), "cid"))), "ngram-near")
             more = self.verified(new, sets, docs)
             old += [open_, new, more]
             if more.limit(1).count():
@@ -592,15 +594,19 @@ class NgramJoin:
         The classes of a list meet in a sorted stream; only pairs that pass are emitted. Of a list
         with over ``part`` classes, parts of about that many (side 0, kept in memory) each meet
         all its classes (side 1, streamed); of a smaller one every class meets those before it (side 2).
+        Near copies share many lists, so a class carries its FIRST smallest lists: a pair that has one of them in
+        common is put out by the smallest of these only (no smaller one can be common without being carried too).
         """
         parts = F.ceil(F.col("size") / self.part).cast("int")
-        cols = ["cid", "label", "n", "sketch"]
+        cols = ["cid", "label", "n", "firsts", "sketch"]
         few = open_.where(parts == 1).select("gid", F.lit(0).alias("part"), F.lit(2).alias("side"), *cols)
         many = open_.where(parts > 1)
         held = many.select("gid", F.pmod(F.xxhash64("cid"), parts).cast("int").alias("part"), F.lit(0).alias("side"), *cols)
         passing = many.select("gid", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(1).alias("side"), *cols)
         up, down = self.t.numerator, self.t.denominator
 
+        NONE = np.iinfo(np.int64).max
+
         def width(gid: np.ndarray) -> np.ndarray:
             """Words of the sketches of a list's band; guests' are folded."""
             band = gid.view(np.uint64) >> np.uint64(SALT_BITS) & np.uint64((1 << BAND_BITS) - 1)
@@ -617,6 +623,7 @@ class NgramJoin:
                 for w in np.unique(wide).tolist():
                     rows = np.flatnonzero(wide == w)
                     own = [b.column(c).to_numpy()[rows] for c in ("gid", "part", "side", "cid", "label", "n")]
+                    own.append(np.array([(b.column("firsts")[i].as_py() + [NONE] * FIRST)[:FIRST] for i in rows.tolist()]))
                     own.append(np.stack([folded(np.frombuffer(column[i].as_buffer(), dtype=np.uint64), w) for i in rows.tolist()]))
                     kept = carry.pop(w, None)
                     if kept is not None and (kept[0][-1], kept[1][-1]) != (own[0][0], own[1][0]):
@@ -631,7 +638,7 @@ class NgramJoin:
                         carry[w] = [c[same] for c in own]
 
         def pairs(cols, old):
-            gid, part, side, cid, label, n, sketch = cols
+            gid, part, side, cid, label, n, firsts, sketch = cols
             at = np.arange(len(gid))
             new = np.concatenate([[True], (gid[1:] != gid[:-1]) | (part[1:] != part[:-1])])
             start = at[new][np.cumsum(new) - 1]
@@ -646,6 +653,9 @@ class NgramJoin:
                 x, r = x[ok], r[ok]
                 apart = np.bitwise_count(sketch[x] ^ sketch[r]).sum(axis=1, dtype=np.int64)
                 ok = apart * (up + down) <= (n[x] + n[r]) * (down - up)
+                x, r = x[ok], r[ok]
+                common = firsts[x][:, :, None] == firsts[r][:, None, :]
+                ok = gid[x] <= np.where(common.any(axis=2), firsts[x], NONE).min(axis=1, initial=NONE)
                 if ok.any():
                     yield pa.RecordBatch.from_arrays([pa.array(cid[x[ok]]), pa.array(cid[r[ok]])], ["a", "b"])
 
