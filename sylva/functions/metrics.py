@@ -70,3 +70,14 @@ def eval_flat(df: DataFrame, metrics: list[str], approx: str, target: str, weigh
         mean = F.sum(w * flat_term(m, F.col(approx), F.col(target))) / F.sum(w)
         out.append((F.sqrt(mean) if m.name == "RMSE" else mean).alias(text))
     return df.agg(*out)
+
+
+def accuracy(df: DataFrame, label: str, predicted: str) -> DataFrame:
+    return df.agg(F.avg((F.col(label).cast("double") == F.col(predicted).cast("double")).cast("double")).alias("accuracy"))
+
+
+def r2(df: DataFrame, label: str, predicted: str) -> DataFrame:
+    """1 - residual over total sum of squares; 1 for a constant label that is met, 0 for one that isn't."""
+    y, p = F.col(label).cast("double"), F.col(predicted)
+    left, whole = F.sum((y - p) * (y - p)), F.var_pop(y) * F.count(y)
+    return df.agg(F.when(whole > 0, 1 - left / F.when(whole > 0, whole)).when(left == 0, 1.0).otherwise(0.0).alias("r2"))

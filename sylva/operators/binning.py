@@ -26,11 +26,25 @@ def uniform_borders(df: DataFrame, features: list[str], count: int) -> DataFrame
     return span.select("feature", F.explode(F.sequence(F.lit(1), F.lit(count))).alias("i"), "lo", "hi").select("feature", (F.col("lo") + (F.col("i").cast("float") * (F.col("hi") - F.col("lo")) / F.lit(count + 1).cast("float"))).cast("float").alias("border")).distinct()
 
 
-def value_counts(df: DataFrame, features: list[str]) -> DataFrame:
-    """Distinct values with counts and cumulated counts. Only distinct values reach the window, by feature."""
+def value_counts(df: DataFrame, features: list[str], blocks: int = 64) -> DataFrame:
+    """(feature, value, n, upto, before, total): distinct values with counts, cumulated counts and the value before.
+
+    Sums and largest values of blocks between quantiles come first, so only the distinct values of one block are in order in a task.
+    """
+    own = df.select(*[F.col(f).cast("float").cast("double").alias(f) for f in features])
+    own = own.select(*[F.when(~F.isnan(f), F.col(f)).alias(f) for f in features])
+    edges = own.approxQuantile(features, [i / blocks for i in range(1, blocks)], 0.2 / blocks)
     c = long_form(df, features).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("feature").orderBy("value")
-    return c.select("feature", "value", "n", F.sum("n").over(w).alias("upto"), F.lag("value").over(w).alias("before"), F.sum("n").over(Window.partitionBy("feature")).alias("total"))
+    block = F.lit(0)
+    for f, e in zip(features, edges, strict=True):
+        if e:
+            block = F.when(F.col("feature") == f, F.size(F.filter(F.array(*[F.lit(v) for v in sorted(set(e))]), lambda x: x < F.col("value").cast("double")))).otherwise(block)
+    c = c.withColumn("block", block)
+    whole = c.groupBy("feature", "block").agg(F.sum("n").alias("n"), F.max("value").alias("top"))  # at most ``blocks`` rows a feature
+    earlier = Window.partitionBy("feature").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.select("feature", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("pre"), F.max("top").over(earlier).alias("last"), F.sum("n").over(Window.partitionBy("feature")).alias("total"))
+    w = Window.partitionBy("feature", "block").orderBy("value")
+    return c.join(whole, ["feature", "block"]).select("feature", "value", "n", (F.col("pre") + F.sum("n").over(w)).alias("upto"), F.coalesce(F.lag("value").over(w), F.col("last")).alias("before"), "total")
 
 
 def median_borders(df: DataFrame, features: list[str], count: int) -> DataFrame:
@@ -51,15 +65,17 @@ def _penalty(kind: str, w: np.ndarray) -> np.ndarray:
 
 
 def greedy_splits(values: np.ndarray, counts: np.ndarray, borders: int, kind: str) -> list[float]:
-    """Split the bin whose best cut lowers the total penalty most, until there are enough; equal gains: the older bin."""
+    """Split the bin whose cut lowers the total penalty most, until there are enough; equal gains: the older bin.
+
+    A bin is cut before or after the value of its middle row, whichever gains more, before on a tie.
+    """
     upto = np.concatenate([[0], np.cumsum(counts)])
 
     def best(lo: int, hi: int):
         if hi - lo < 2:
             return None
-        middle = upto[lo] + (upto[hi] - upto[lo]) / 2
-        i = int(np.searchsorted(upto, middle, side="left"))
-        cuts = {c for c in (i - 1, i, i + 1) if lo < c < hi}
+        i = int(np.searchsorted(upto, upto[lo] + (upto[hi] - upto[lo]) // 2, side="right")) - 1
+        cuts = [c for c in (i, i + 1) if lo < c < hi]
         own = _penalty(kind, upto[hi] - upto[lo])
         gains = sorted((own - _penalty(kind, upto[c] - upto[lo]) - _penalty(kind, upto[hi] - upto[c]), -c) for c in cuts)
         return (-float(gains[-1][0]), -gains[-1][1]) if gains else None
@@ -78,7 +94,11 @@ def greedy_splits(values: np.ndarray, counts: np.ndarray, borders: int, kind: st
 
 
 def exact_splits(values: np.ndarray, counts: np.ndarray, borders: int, kind: str) -> list[float]:
-    """The cut set of least total penalty, by dynamic programming over distinct values."""
+    """The cut set of least total penalty, by dynamic programming over distinct values.
+
+    Both penalties are convex in a bin's weight, so the best last cut moves right with the end of the last bin; a layer
+    halves its ends and looks only between the cuts of its neighbours.
+    """
     n, bins = len(values), min(borders + 1, len(values))
     upto = np.concatenate([[0], np.cumsum(counts)])
     cost = np.full(n + 1, math.inf)
@@ -86,10 +106,18 @@ def exact_splits(values: np.ndarray, counts: np.ndarray, borders: int, kind: str
     back = []
     for _ in range(bins - 1):
         new, via = np.full(n + 1, math.inf), np.zeros(n + 1, dtype=int)
-        for j in range(1, n + 1):
-            c = cost[:j] + _penalty(kind, upto[j] - upto[:j])
-            via[j] = int(np.argmin(c))
-            new[j] = c[via[j]]
+        stack = [(1, n, 0, n - 1)]
+        while stack:
+            lo, hi, first, last = stack.pop()
+            if lo > hi:
+                continue
+            j = (lo + hi) // 2
+            stop = min(j - 1, last)
+            c = cost[first : stop + 1] + _penalty(kind, upto[j] - upto[first : stop + 1])
+            at = int(np.argmin(c)) if len(c) else 0
+            via[j], new[j] = first + at, c[at] if len(c) else math.inf
+            known = np.isfinite(new[j])  # ends that no cut reaches yet say nothing about their neighbours
+            stack += [(lo, j - 1, first, via[j] if known else last), (j + 1, hi, via[j] if known else first, last)]
         back.append(via)
         cost = new
     cuts, j = [], n

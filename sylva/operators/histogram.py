@@ -42,12 +42,26 @@ def scan(hist: DataFrame, borders: DataFrame | None = None) -> DataFrame:
     return out.where("border < top").select("leaf", "feature", "border", "left_der", "left_weight", (F.col("d") - F.col("left_der")).alias("right_der"), (F.col("w") - F.col("left_weight")).alias("right_weight"))
 
 
+def scan_one_hot(hist: DataFrame) -> DataFrame:
+    """As ``scan`` for categories: the right side is one bin, the left side all others of the leaf and feature."""
+    whole = hist.groupBy("leaf", "feature").agg(F.sum("der").alias("d"), F.sum("weight").alias("w"))
+    x = hist.join(whole, ["leaf", "feature"])
+    return x.select("leaf", "feature", F.col("bin").alias("border"), (F.col("d") - F.col("der")).alias("left_der"), (F.col("w") - F.col("weight")).alias("left_weight"), F.col("der").alias("right_der"), F.col("weight").alias("right_weight"))
+
+
+def pair_weight_statistics(pairs: DataFrame, rows: DataFrame, row_id: str, bins: list[str], leaf: str) -> DataFrame:
+    """(feature, winner's leaf and bin, loser's leaf and bin, weight): summed weights of pairs by where their ends lie."""
+    cells = lambda side: rows.select(F.col(row_id).alias(side), F.col(leaf).alias(f"{side}_leaf"), F.array(*[F.col(b) for b in bins]).alias(f"{side}_bins"))
+    x = pairs.join(cells("winner"), "winner").join(cells("loser"), "loser").select("weight", "winner_leaf", "loser_leaf", F.posexplode(F.arrays_zip("winner_bins", "loser_bins")).alias("feature", "b"))
+    return x.groupBy("feature", "winner_leaf", F.col("b.winner_bins").alias("winner_bin"), "loser_leaf", F.col("b.loser_bins").alias("loser_bin")).agg(F.sum("weight").alias("weight"))
+
+
 def average(der: Column, weight: Column, l2: float) -> Column:
     return F.when(weight > 0, der / (weight + l2)).otherwise(0.0)
 
 
 def score_splits(scanned: DataFrame, l2: float = 3.0, score: str = "Cosine", by_leaf: bool = False) -> DataFrame:
-    """(feature, border, score), summed over leaves, or also by leaf."""
+    """(feature, border, score), summed over leaves, or also by leaf. Scores are to be maximised."""
     terms = [(average(F.col(f"{s}_der"), F.col(f"{s}_weight"), l2), F.col(f"{s}_der"), F.col(f"{s}_weight")) for s in ("left", "right")]
     up = sum((F.sum(a * d) for a, d, _ in terms), F.lit(0.0))
     down = sum((F.sum(a * a * w) for a, _, w in terms), F.lit(0.0))
@@ -56,9 +70,11 @@ def score_splits(scanned: DataFrame, l2: float = 3.0, score: str = "Cosine", by_
     elif score == "Cosine":
         value = up / F.sqrt(F.lit(1e-100) + down)
     elif score == "SolarL2":
-        value = sum((F.sum(F.when(w > 0, d * d * (w + l2 + 1) / (w * (w + l2))).otherwise(0.0)) if l2 else F.sum(a * d) for a, d, w in terms), F.lit(0.0))
+        value = sum((F.sum(F.when(w > 1e-20, d * d * (1 + 2 * F.ln(w + 1)) / w).otherwise(0.0)) for _, d, w in terms), F.lit(0.0))
     elif score == "LOOL2":
         value = sum((F.sum(F.when(w > 1, d * d * w / ((w - 1) * (w - 1))).otherwise(0.0)) for _, d, w in terms), F.lit(0.0))
+    elif score == "SatL2":
+        value = sum((F.sum(F.when(w > 2, d * d * (w - 2) / (w * w - 3 * w + 1)).otherwise(0.0)) for _, d, w in terms), F.lit(0.0))
     else:
         raise ValueError(f"unknown score {score!r}")
     side = [F.sum(F.col(f"{s}_weight")).alias(f"{s}_weight") for s in ("left", "right")]

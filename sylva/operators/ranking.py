@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sylva.functions.metrics import parse_metric
+from sylva.functions.metrics import GROUPED, parse_metric
+from sylva.operators.sampling import row_numbers
 
 
 def broken_groups(df: DataFrame, group: str, order: str) -> DataFrame:
-    """Groups whose rows are not contiguous in row order.
+    """Groups whose rows are not contiguous in row order: their numbers among all rows span more rows than they have."""
+    x = row_numbers(df.select(group, order), order, out="__n")
+    return x.groupBy(group).agg((F.max("__n") - F.min("__n") + 1 - F.count(F.lit(1))).alias("gap")).where("gap <> 0").select(group)
 
-    A group is contiguous if its ranks among all rows span as many rows as it has;
-    with a dense row id that is max - min + 1 = count, one aggregation without a global window.
-    """
-    return df.groupBy(group).agg((F.max(order) - F.min(order) + 1 - F.count(F.lit(1))).alias("gap")).where("gap <> 0").select(group)
+
+def group_ids(df: DataFrame, column: str) -> Column:
+    """A column as whole, non-negative group numbers; anything else is an error when it is read."""
+    v = F.col(column)
+    if dict(df.dtypes)[column] in ("float", "double", "decimal"):
+        v = F.when((v >= 0) & (v == F.floor(v)), v.cast("long"))
+    else:
+        v = F.when(v.cast("long") >= 0, v.cast("long"))
+    return F.coalesce(v, F.raise_error(F.concat(F.lit(f"{column} isn't a group number: "), F.coalesce(F.col(column).cast("string"), F.lit("null")))).cast("long"))
 
 
 def ranked(df: DataFrame, group: str, approx: str, target: str, row_id: str, top: int = -1) -> DataFrame:
@@ -65,13 +75,28 @@ def group_values(df: DataFrame, metric: str, group: str, approx: str, target: st
         reach = F.exp(F.coalesce(F.sum(F.ln(stay)).over(before), F.lit(0.0)))
         weight = F.power(F.lit(m.number("decay", 0.85)), F.col("pos") - 1) if m.name == "PFound" else 1 / F.col("pos")
         return r.withColumn("part", F.when(seen, F.col(target) * reach * weight).otherwise(0.0)).groupBy(group).agg(F.sum("part").alias("value"))
-    # QueryAUC by rank sums: no pairs are formed
-    up = Window.partitionBy(group).orderBy(approx)
-    same = Window.partitionBy(group, approx)
-    x = r.withColumn("rank", F.rank().over(up) + (F.count(F.lit(1)).over(same) - 1) / 2)
-    pos = F.count_if(rel)
-    neg = F.count(F.lit(1)) - pos
-    return x.groupBy(group).agg(F.when((pos > 0) & (neg > 0), (F.sum(F.when(rel, F.col("rank")).otherwise(0.0)) - pos * (pos + 1) / 2) / (pos * neg)).otherwise(1.0).alias("value"))
+    if m.params.get("type", "Classic") == "Ranking":
+        kind = df.schema[group].dataType.simpleString()
+        return df.select(group, approx, target).groupBy(group).applyInPandas(lambda pdf: _ranking_auc(pdf, group, approx, target), f"{group} {kind}, value double")
+    # classic, with targets between 0 and 1 as shares of a positive and a negative: by running sums, no pairs are formed
+    neg, pos = F.greatest(F.lit(0.0), 1.0 - F.col(target)), F.greatest(F.lit(0.0), F.col(target).cast("double"))
+    upto, same = Window.partitionBy(group).orderBy(approx), Window.partitionBy(group, approx)
+    x = r.withColumn("__neg", neg).withColumn("__pos", pos)
+    x = x.withColumn("__lower", F.sum("__neg").over(upto) - F.sum("__neg").over(same) / 2)
+    p, n = F.sum("__pos"), F.sum("__neg")
+    return x.groupBy(group).agg(F.when((p > 0) & (n > 0), F.sum(F.col("__pos") * F.col("__lower")) / F.when((p > 0) & (n > 0), p * n)).otherwise(0.0).alias("value"))
+
+
+def _ranking_auc(pdf, group: str, approx: str, target: str):
+    """Of the pairs with different targets, the share in the right order; equal approx counts half."""
+    a, t = pdf[approx].to_numpy(dtype=float), pdf[target].to_numpy(dtype=float)
+    below, right, pairs = np.zeros(0), 0.0, 0.0
+    for level in np.unique(t):
+        own = a[t == level]
+        right += (np.searchsorted(below, own, "left") + np.searchsorted(below, own, "right")).sum() / 2
+        pairs += len(own) * len(below)
+        below = np.sort(np.concatenate([below, own]))
+    return pd.DataFrame({group: [pdf[group].iloc[0]], "value": [right / pairs if pairs else 0.0]})
 
 
 def eval_grouped(df: DataFrame, metric: str, group: str, approx: str, target: str, row_id: str, weight: str | None = None) -> DataFrame:

@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 
-def nearest(base: DataFrame, queries: DataFrame, row_id: str, vector: str, k: int = 5, max_bytes: int = 256 << 20) -> DataFrame:
-    """(query, neighbour, distance): the k nearest by squared L2, ties by id.
+def nearest(base: DataFrame, queries: DataFrame, row_id: str, vector: str, k: int = 5, max_bytes: int = 256 << 20, before: str | None = None) -> DataFrame:
+    """(query, neighbour, distance): the k nearest by squared L2, ties by id. With ``before`` (a column of both) only rows
+    whose value is less than the query's count: neighbours among what came earlier in a permutation.
 
     The stated query set goes to the executors in blocks of at most ``max_bytes``; every
     partition of the base keeps its own k best in numpy, and a window picks among those.
@@ -19,23 +20,26 @@ def nearest(base: DataFrame, queries: DataFrame, row_id: str, vector: str, k: in
     blocks = max(1, -(-first["n"] * first["d"] * 8 // max_bytes))
     found = None
     for i in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64(row_id), F.lit(blocks)) == i).select(row_id, vector).toPandas()
+        part = queries.where(F.pmod(F.xxhash64(row_id), F.lit(blocks)) == i).select(row_id, vector, *([before] if before else [])).toPandas()
         if not len(part):
             continue
-        shared = base.sparkSession.sparkContext.broadcast((part[row_id].to_numpy(), np.array(part[vector].tolist(), dtype=np.float64)))
+        shared = base.sparkSession.sparkContext.broadcast((part[row_id].to_numpy(), np.array(part[vector].tolist(), dtype=np.float64), part[before].to_numpy() if before else None))
 
         def run(frames, shared=shared):
-            ids, q = shared.value
+            ids, q, place = shared.value
             for f in frames:
                 if not len(f):
                     continue
                 x, own = np.array(f.iloc[:, 1].tolist(), dtype=np.float64), f.iloc[:, 0].to_numpy()
                 for j in range(len(ids)):
                     d = ((x - q[j]) ** 2).sum(axis=1)
+                    if place is not None:
+                        d = np.where(f.iloc[:, 2].to_numpy() < place[j], d, np.inf)
                     best = np.lexsort((own, d))[:k]
+                    best = best[np.isfinite(d[best])]
                     yield pd.DataFrame({"query": ids[j], "neighbour": own[best], "distance": d[best]})
 
-        got = base.select(row_id, vector).mapInPandas(run, "query long, neighbour long, distance double")
+        got = base.select(row_id, vector, *([before] if before else [])).mapInPandas(run, "query long, neighbour long, distance double")
         found = got if found is None else found.unionByName(got)
     w = Window.partitionBy("query").orderBy("distance", "neighbour")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -46,10 +50,29 @@ def knn_votes(neighbours: DataFrame, labels: DataFrame, row_id: str, label: str)
     return neighbours.join(labels.select(F.col(row_id).alias("neighbour"), label), "neighbour").groupBy("query", label).agg(F.count(F.lit(1)).alias("votes"))
 
 
+def knn_mean(neighbours: DataFrame, targets: DataFrame, row_id: str, target: str) -> DataFrame:
+    """(query, mean) for regression: the mean target of the neighbours."""
+    return neighbours.join(targets.select(F.col(row_id).alias("neighbour"), target), "neighbour").groupBy("query").agg(F.avg(target).alias("mean"))
+
+
 def class_moments(df: DataFrame, vector: str, label: str) -> DataFrame:
-    """(class, i, j, n, sums): first and second moments by one aggregation over exploded products."""
-    v = df.select(label, F.posexplode(vector).alias("i", "x"), F.col(vector).alias("v"))
-    return v.select(label, "i", "x", F.posexplode("v").alias("j", "y")).groupBy(label, "i", "j").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x").cast("double")).alias("sx"), F.sum(F.col("x").cast("double") * F.col("y")).alias("sxy"))
+    """(class, i, j, n, sums): first and second moments. A batch adds ``x.T @ x`` to its task's matrices; only those, classes x d x d numbers a task, are shuffled."""
+    kind = df.schema[label].dataType.simpleString()
+
+    def run(frames):
+        sums: dict = {}
+        for f in frames:
+            for c, rows in f.groupby(f.columns[0], dropna=False).indices.items() if len(f) else ():
+                x = np.array(f.iloc[rows, 1].tolist(), dtype=np.float64)
+                n, s, q = sums.get(c, (0, 0.0, 0.0))
+                sums[c] = (n + len(x), s + x.sum(axis=0), q + x.T @ x)
+        for c, (n, s, q) in sums.items():
+            d = len(s)
+            i, j = (v.ravel() for v in np.indices((d, d)))
+            yield pd.DataFrame({label: [c] * (d * d), "i": i, "j": j, "n": n, "sx": s[i], "sxy": q.ravel()})
+
+    parts = df.where(F.col(vector).isNotNull()).select(label, vector).mapInPandas(run, f"{label} {kind}, i int, j int, n long, sx double, sxy double")
+    return parts.groupBy(label, "i", "j").agg(F.sum("n").alias("n"), F.sum("sx").alias("sx"), F.sum("sxy").alias("sxy"))
 
 
 def lda(df: DataFrame, vector: str, label: str, size: int = 1, reg: float = 5e-5) -> np.ndarray:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sylva.functions import losses, metrics
 from sylva.operators import binning, encoding, histogram, ranking, sampling, text, vectors
 from sylva.plans.gbt import GBT
 from sylva.sources.dataset import Dataset
+from sylva.sources.store import materialise
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,13 +91,11 @@ def _orders(spark, d):
 
 
 def ordered_ctr(spark, d):
-    x = _orders(spark, d)
-    return x.select("o_orderkey", F.round(encoding.ordered_class_ctr(x, "o_orderpriority", "t", "o_orderkey"), 9).alias("ctr"))
+    return encoding.ordered_ctr(_orders(spark, d), ["o_orderpriority"], "t", "o_orderkey").select("o_orderkey", F.round("ctr", 9).alias("ctr"))
 
 
 def ordered_mean_ctr(spark, d):
-    x = _orders(spark, d)
-    return x.select("o_orderkey", F.round(encoding.ordered_class_ctr(x, ["o_orderpriority", "o_orderstatus"], "t", "o_orderkey", prior=0.0, kind="Mean"), 9).alias("ctr"))
+    return encoding.ordered_ctr(_orders(spark, d), ["o_orderpriority", "o_orderstatus"], "t", "o_orderkey", prior=0.0, kind="Mean").select("o_orderkey", F.round("ctr", 9).alias("ctr"))
 
 
 def counter_ctr(spark, d):
@@ -105,7 +104,7 @@ def counter_ctr(spark, d):
 
 def final_ctr_apply(spark, d):
     x = _orders(spark, d)
-    t = encoding.ctr_table(x.where(F.col("o_orderkey") % 2 == 0), ["o_custkey"], "t")
+    t = encoding.ctr_table(x, ["o_custkey"], "t")
     return encoding.apply_ctr(x, t, ["o_custkey"]).select("o_orderkey", F.round("ctr", 9).alias("ctr"))
 
 
@@ -142,7 +141,7 @@ def digitized(spark, d):
 
 def _classes(spark, d):
     docs, words = _words(spark, d)
-    bags = text.digitize(docs, "doc_id", F.col("tokens"), words)
+    bags = materialise(text.digitize(docs, "doc_id", F.col("tokens"), words), "bags")  # read several times below
     labels = table(spark, d, "labels")
     return bags, text.class_counts(bags, labels, "doc_id", "quality"), labels.groupBy("quality").agg(F.count(F.lit(1)).alias("docs"))
 
@@ -204,16 +203,29 @@ def query_softmax(spark, d):
     return e.select("event_id", F.round(ranking.query_softmax_der("user_id", "approx", "target"), 6).alias("der"))
 
 
+def _pairs(e):
+    """Of two rows of a group that follow each other, the one with the higher target wins."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    both = e.select("event_id", "target", F.lag("event_id").over(w).alias("other"), F.lag("target").over(w).alias("t")).where("target <> t")
+    up = F.col("target") > F.col("t")
+    return both.select(F.when(up, F.col("event_id")).otherwise(F.col("other")).alias("winner"), F.when(up, F.col("other")).otherwise(F.col("event_id")).alias("loser"), F.lit(1.0).alias("weight"))
+
+
 def pair_logit(spark, d):
     e = _events(spark, d).withColumn("approx", F.col("approx") / 100)
-    ends = e.groupBy("user_id").agg(F.min("event_id").alias("loser"), F.max("event_id").alias("winner")).where("winner > loser")
-    return ranking.pair_logit_ders(e, ends.select("winner", "loser", F.lit(1.0).alias("weight")), "event_id", "approx").select("event_id", F.round("der", 6).alias("der"))
+    return ranking.pair_logit_ders(e, _pairs(e), "event_id", "approx").select("event_id", F.round("der", 6).alias("der"))
 
 
 def broken_groups(spark, d):
     return ranking.broken_groups(table(spark, d, "events"), "user_id", "event_id")
 
 
+def contiguous_groups(spark, d):
+    """Groups of neighbours in the order of sparse ids: none is broken but those of every tenth user, who comes twice."""
+    e = table(spark, d, "events").select((F.col("event_id") * F.col("event_id")).alias("id"), F.when(F.pmod(F.floor(F.col("event_id") / 7), F.lit(10)) == 0, F.lit(-1)).otherwise(F.floor(F.col("event_id") / 7)).alias("g"))
+    return ranking.broken_groups(e, "g", "id")
+
+
 def folds(spark, d):
     return sampling.kfold(table(spark, d, "customer"), "c_custkey", 4).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.min("c_custkey").alias("lo"), F.max("c_custkey").alias("hi"))
 
@@ -242,7 +254,7 @@ QUERIES = {f.__name__: f for f in (
     first_split, bucket_histogram, border_scan, split_scores_l2, leaf_values, uniform_borders, median_borders, quantized, greedy_borders, exact_borders,
     class_weights, sqrt_class_weights, ordered_ctr, ordered_mean_ctr, counter_ctr, final_ctr_apply, dense_ids, cardinality, one_hot, token_dictionary,
     bigram_dictionary, digitized, naive_bayes, bm25, knn, class_moments, flat_metrics, loss_derivatives, query_auc, query_rmse, query_softmax, pair_logit,
-    broken_groups, folds, gbt_stump,
+    broken_groups, contiguous_groups, folds, gbt_stump,
 )}
 QUERIES |= {"ndcg": _metric("NDCG:top=10"), "dcg_exp": _metric("DCG:type=Exp"), "mrr": _metric("MRR:top=5"), "map": _metric("MAP:top=10"), "precision": _metric("PrecisionAt:top=5"), "recall": _metric("RecallAt:top=5")}
 QUERIES |= {f"train_{p.lower()}": _train(p) for p in ("SymmetricTree", "Depthwise", "Lossguide", "Region")}
@@ -282,7 +294,7 @@ ORACLE_SQL = {
     "ordered_ctr": f"with {_ORD} select o_orderkey, round((coalesce(sum(t) over w, 0) + 0.5::double) / (count(*) over w + 1), 9) as ctr from o window w as (partition by o_orderpriority order by o_orderkey rows between unbounded preceding and 1 preceding)",
     "ordered_mean_ctr": f"with {_ORD} select o_orderkey, round(coalesce(sum(t) over w, 0)::double / (count(*) over w + 1), 9) as ctr from o window w as (partition by o_orderpriority, o_orderstatus order by o_orderkey rows between unbounded preceding and 1 preceding)",
     "counter_ctr": "select o_orderpriority, round(count(*) / (max(count(*)) over () + 1), 9) as ctr from orders group by 1",
-    "final_ctr_apply": f"with {_ORD}, c as (select o_custkey, count(*) as n, sum(t) as g from o where o_orderkey % 2 = 0 group by 1) select o_orderkey, round((coalesce(g, 0) + 0.5::double) / (coalesce(n, 0) + 1), 9) as ctr from o left join c using (o_custkey)",
+    "final_ctr_apply": f"with {_ORD}, c as (select o_custkey, count(*) as n, sum(t) as g from o group by 1) select o_orderkey, round((coalesce(g, 0) + 0.5::double) / (coalesce(n, 0) + 1), 9) as ctr from o left join c using (o_custkey)",
     "dense_ids": "select value, row_number() over (order by first_key, value) - 1 as id from (select o_orderpriority as value, min(o_orderkey) as first_key from orders group by 1)",
     "cardinality": "select count(distinct o_orderpriority) as priorities, count(distinct o_orderstatus) as states from orders",
     "one_hot": "select o_orderkey, (o_orderstatus = 'F')::int as is_f, (o_orderstatus = 'O')::int as is_o from orders",
@@ -311,14 +323,18 @@ ORACLE_SQL = {
         round(case when t > a then 1 else -1 end / greatest(1, abs(t)), 8) + 0.0 as mape_1, 0.0::double as mape_2, round(case when abs(r) < 1 then r else sign(r) end, 8) + 0.0 as huber_1, case when abs(r) < 1 then -1.0::double else 0.0 end as huber_2,
         round(r, 8) + 0.0 as expectile_1, -1.0::double as expectile_2, round(t - p, 8) + 0.0 as logloss_1, round(-p * (1 - p), 8) + 0.0 as logloss_2 from g""",
     "query_auc": f"""with {_EV}, f as (select user_id, approx, (target > 1)::int as t from e), p as (select a.user_id, sum(case when a.approx > b.approx then 1.0 when a.approx = b.approx then 0.5 else 0 end) / count(*) as v
-        from f a join f b on a.user_id = b.user_id and a.t = 1 and b.t = 0 group by 1) select u.user_id, round(coalesce(v, 1), 6) as value from (select distinct user_id from f) u left join p using (user_id)""",
+        from f a join f b on a.user_id = b.user_id and a.t = 1 and b.t = 0 group by 1) select u.user_id, round(coalesce(v, 0), 6) as value from (select distinct user_id from f) u left join p using (user_id)""",
     "query_rmse": f"with {_EV} select event_id, round((target - approx) - avg(target - approx) over (partition by user_id) + 1e-7, 3) as der from e",
     "query_softmax": f"""with {_EV}, x as (select event_id, user_id, target, exp(approx / 100 - max(approx / 100) over (partition by user_id)) as z from e)
         select event_id, round(case when sum(target) over w > 0 then target - sum(target) over w * z / sum(z) over w else 0 end, 6) as der from x window w as (partition by user_id)""",
-    "pair_logit": f"""with {_EV}, p as (select max(event_id) as winner, min(event_id) as loser from e group by user_id having count(*) > 1), g as (select winner, loser, 1 / (1 + exp(a.approx / 100 - b.approx / 100)) as g from p join e a on a.event_id = winner join e b on b.event_id = loser)
-        select winner as event_id, round(g, 6) as der from g union all select loser, round(-g, 6) from g""",
-    "broken_groups": "select user_id from events group by 1 having max(event_id) - min(event_id) + 1 <> count(*)",
-    "folds": """with n as (select max(c_custkey) - min(c_custkey) + 1 as n, min(c_custkey) as lo from customer), f as (select c_custkey, c_custkey - lo as p, n // 4 as s, n % 4 as x from customer, n)
+    "pair_logit": f"""with {_EV}, l as (select *, lag(event_id) over w as other, lag(target) over w as t from e window w as (partition by user_id order by event_id)),
+        p as (select case when target > t then event_id else other end as winner, case when target > t then other else event_id end as loser from l where target <> t),
+        g as (select winner, loser, 1 / (1 + exp(a.approx / 100 - b.approx / 100)) as g from p join e a on a.event_id = winner join e b on b.event_id = loser)
+        select event_id, round(sum(g), 6) as der from (select winner as event_id, g from g union all select loser, -g from g) group by 1""",
+    "broken_groups": "with r as (select user_id, row_number() over (order by event_id) as n from events) select user_id from r group by 1 having max(n) - min(n) + 1 <> count(*)",
+    "contiguous_groups": """with e as (select event_id * event_id as id, case when (event_id // 7) % 10 = 0 then -1 else event_id // 7 end as g from events), r as (select g, row_number() over (order by id) as n from e)
+        select g from r group by 1 having max(n) - min(n) + 1 <> count(*)""",
+    "folds": """with f as (select c_custkey, row_number() over (order by c_custkey) - 1 as p, count(*) over () // 4 as s, count(*) over () % 4 as x from customer)
         select (case when p < x * (s + 1) then p // (s + 1) else x + (p - x * (s + 1)) // s end)::int as fold, count(*) as n, min(c_custkey) as lo, max(c_custkey) as hi from f group by 1""",
     "ndcg": f"with {_RANK} select user_id, round(case when i > 0 then d / i else 1 end, 6) as value from (select user_id, sum(case when pos <= 10 then target / log2(pos + 1) else 0 end) as d, sum(case when ipos <= 10 then target / log2(ipos + 1) else 0 end) as i from r group by 1)",
     "dcg_exp": f"with {_RANK} select user_id, round(sum((power(2, target) - 1) / log2(pos + 1)), 6) as value from r group by 1",

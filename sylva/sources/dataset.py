@@ -18,6 +18,7 @@ class Dataset:
     texts: tuple[str, ...] = ()
     vectors: tuple[str, ...] = ()
     label: str | None = None
+    targets: tuple[str, ...] = ()  # of losses with several labels
     weight: str | None = None
     group: str | None = None
     subgroup: str | None = None
@@ -49,7 +50,7 @@ class Dataset:
         return replace(self, **roles)
 
     def columns(self) -> list[str]:
-        return [c for c in (self.row_id, *self.features, *self.cats, *self.texts, *self.vectors, self.label, self.weight, self.group, self.subgroup, self.baseline) if c]
+        return [c for c in (self.row_id, *self.features, *self.cats, *self.texts, *self.vectors, self.label, *self.targets, self.weight, self.group, self.subgroup, self.baseline) if c]
 
     def ignore(self, names: list[str]) -> Dataset:
         unknown = set(names) - set(self.features) - set(self.cats)
@@ -57,6 +58,22 @@ class Dataset:
             raise ValueError(f"no such features: {sorted(unknown)}")
         return replace(self, features=tuple(f for f in self.features if f not in names), cats=tuple(c for c in self.cats if c not in names))
 
+    def column(self, role: str, index: int = 0) -> DataFrame:
+        """(row id, value) of a role's column: ``column("features", 2)``, ``column("label")``."""
+        value = getattr(self, role, None) if role in ("features", "cats", "texts", "vectors", "targets", "label", "weight", "group", "subgroup", "baseline") else None
+        name = value if isinstance(value, str) else value[index] if isinstance(value, tuple) and 0 <= index < len(value) else None
+        if name is None:
+            raise ValueError(f"no column {index} with the role {role!r}")
+        return self.df.select(self.row_id, F.col(name).alias("value"))
+
+    @property
+    def num_row(self) -> int:
+        return self.df.count()
+
+    @property
+    def num_col(self) -> int:
+        return len(self.features) + len(self.cats) + len(self.texts) + len(self.vectors)
+
     def take(self, rows: DataFrame) -> Dataset:
         """Rows by id, as often as listed; pairs are dropped."""
         return replace(self, df=rows.select(self.row_id).join(self.df, self.row_id), pairs=None)

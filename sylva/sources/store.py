@@ -2,17 +2,43 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` or what ``setCheckpointDir`` was given.
+
+    A session of one machine without one gets a folder under the warehouse; a cluster without one is an error.
+    """
+    sc = spark.sparkContext
+    found = sc._jsc.sc().getCheckpointDir()
+    if found.isDefined():
+        return found.get()
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir')}/sylva-shared"
+    sc.setCheckpointDir(named)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write to ``spark.checkpoint.dir`` (a local folder only where none is set) and read back: cuts lineage, survives lost executors."""
-    spark, sc = df.sparkSession, df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sylva-"))
-    path = f"{sc._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    """Write to the shared folder and read back: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``materialise`` that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "written_to", None):
+            spark = df.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
