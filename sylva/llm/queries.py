@@ -83,8 +83,8 @@ _LISTED = ", ".join(f"'{x}'" for x in LISTED)
 
 ORACLE_SQL = {
     "op1_url_filter": f"""
-        with u as (select page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '') as raw,
-                          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*(/[^?#]*)', 1), '') as path from pages),
+        with g as (select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+        u as (select page_id, regexp_extract(rest, '^[^/?#]*') as raw, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') as path from g),
         h as (select page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, path from u),
         l as (select unnest([{_LISTED}]) as name),
         x as (select h.*, exists (select 1 from l where h.host = l.name or ends_with(h.host, '.' || l.name)) as listed,

@@ -1,12 +1,12 @@
 """Exact URL blocklists as a cascade of Bloom filters.
 
-Level 1 encodes the listed keys that occur in the corpus. Level 2 encodes the
-unlisted keys of the corpus that level 1 wrongly accepts, level 3 the listed
-keys that level 2 wrongly accepts, and so on, until a level has no false
-positives. A key of the corpus is listed if the number of levels it passes
-before the first refusal is odd. Because the levels are built over the complete
-set of the corpus's keys, the answer is exact for every one of them and no page
-is joined with a list.
+Level 1 encodes the list. All keys of the corpus go through it; only those that
+pass are compared with the list itself. Level 2 encodes the unlisted ones among
+them (what level 1 wrongly accepts), level 3 the listed keys that level 2 wrongly
+accepts, and so on, until a level has no false positives. A key of the corpus is
+listed if the number of levels it passes before the first refusal is odd. Because
+the levels are built over the complete set of the corpus's keys, the answer is
+exact for every one of them and no page is joined with a list.
 
 The two 64-bit hashes of a key are computed in the JVM (``xxhash64``); the bits
 of a level are aggregated there as well, so the driver receives 64-bit words of
@@ -16,7 +16,8 @@ one pass, ``max_bytes`` at most, and a list beyond that is looked up in more
 passes over the keys.
 
 Nulls and texts without ``://`` have an empty host and path; an empty host is
-never listed. Repeated urls get equal rows; an empty table gives an empty result.
+never listed. Repeated urls get equal rows; an empty table gives an empty result, an empty list no hit.
+Only page_id and url are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sylva.llm.common import arrow_map, share, written
+from sylva.llm.common import arrow_map, discard, share, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -121,8 +122,8 @@ class BloomCascade:
     boolean ``listed``; ``mark`` looks up array columns of keys.
     """
 
-    def __init__(self, bits_per_key: float = 6.0, slice_bits: int = 1 << 22, max_bytes: int = 64 << 20):
-        self.bits_per_key, self.slice_bits, self.max_bytes = bits_per_key, slice_bits, max_bytes
+    def __init__(self, bits_per_key: float = 6.0, slice_bits: int = 1 << 22, max_bytes: int = 64 << 20, max_levels: int = 60):
+        self.bits_per_key, self.slice_bits, self.max_bytes, self.max_levels = bits_per_key, slice_bits, max_bytes, max_levels
         self.passes: list[list[Level]] = []
         self.parts = 1
 
@@ -131,39 +132,56 @@ class BloomCascade:
         return d.select("key", F.xxhash64(F.lit(1), "key").alias("h1"), F.xxhash64(F.lit(2), "key").alias("h2"))
 
     def fit(self, universe: DataFrame, listed: DataFrame) -> BloomCascade:
-        marked = self._hashed(universe).join(self._hashed(listed).select("key", F.lit(True).alias("listed")), "key", "left")
-        self.universe = written(marked.withColumn("listed", F.coalesce("listed", F.lit(False))), "url-universe")
-        n = {r["listed"]: r["n"] for r in self.universe.groupBy("listed").agg(F.count(F.lit(1)).alias("n")).collect()}
-        total = n.get(True, 0)
+        names = written(self._hashed(listed), "url-listed")
+        keys = written(self._hashed(universe), "url-universe")
+        total = names.count()
         self.parts = max(1, math.ceil(total * self.bits_per_key / self.slice_bits))
         per_pass = max(1, int(self.max_bytes * 4 // self.slice_bits))  # half of max_bytes: later levels need less than the first
         self.passes = []
-        for first in range(0, self.parts, per_pass):
-            self.passes.append(self._levels(range(first, min(self.parts, first + per_pass))))
+        for first in range(0, self.parts if total else 0, per_pass):
+            self.passes.append(self._levels(names, keys, range(first, min(self.parts, first + per_pass))))
+        discard(names, keys)
         return self
 
-    def _levels(self, parts: range) -> list[Level]:
-        """All levels for some slices. Each level is one pass over the keys."""
-        levels: list[Level] = []
-        seen = None
+    def _levels(self, names: DataFrame, keys: DataFrame, parts: range) -> list[Level]:
+        """All levels for some slices. Each level is one pass over the keys that all before it accept."""
+        own = self._rest(names, [], parts)
+        levels = [level for level in [self._encoded(own, 0, parts)] if level]
+        if not levels:
+            return levels
+        passed = self._rest(keys, levels, parts)
+        left = written(passed.join(names.select("key", F.lit(True).alias("listed")), "key", "left").withColumn("listed", F.coalesce("listed", F.lit(False))), "url-passed")
         while True:
-            mine, wrong = len(levels) % 2 == 0, self._rest(levels, parts)
-            count = wrong.where(F.col("listed") == F.lit(mine)).groupBy("part").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).collect()[0]
-            if not count[0] or (seen is not None and count[1] == seen and len(levels) > 40):
+            mine = len(levels) % 2 == 0
+            level = self._encoded(left.where(F.col("listed") == F.lit(mine)), len(levels), parts)
+            if level is None:
+                discard(left)
                 return levels
-            level = Level(m=max(64, 64 * math.ceil(count[0] * self.bits_per_key / 64)), k=max(1, round(self.bits_per_key * math.log(2))))
-            words = self._words(wrong.where(F.col("listed") == F.lit(mine)), len(levels), level)
-            for p in parts:
-                level.bits[p] = np.zeros(level.m // 64, dtype=np.uint64)
-            for r in words.toLocalIterator():
-                level.bits[r["part"]][r["word"]] = np.uint64(r["bits"] & 0xFFFFFFFFFFFFFFFF)
+            if len(levels) >= self.max_levels:
+                raise RuntimeError(f"{self.max_levels} levels don't tell the keys apart: two keys have equal hashes, or bits_per_key is too small")
             levels.append(level)
-            seen = count[1]
-
-    def _rest(self, levels: list[Level], parts: range) -> DataFrame:
-        """Keys that all levels so far accept: for the next level, those to encode and those to tell apart."""
-        shared = share(self.universe.sparkSession, levels)
+            # what the new level refuses is settled; the rest goes on
+            rest = written(self._rest(left, levels[-1:], parts, len(levels) - 1, "listed"), "url-passed")
+            discard(left)
+            left = rest
+
+    def _encoded(self, keys: DataFrame, at: int, parts: range) -> Level | None:
+        """A level that accepts these keys, or None if there are none."""
+        most = keys.groupBy("part").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).collect()[0][0]
+        if not most:
+            return None
+        level = Level(m=max(64, 64 * math.ceil(most * self.bits_per_key / 64)), k=max(1, round(self.bits_per_key * math.log(2))))
+        for p in parts:
+            level.bits[p] = np.zeros(level.m // 64, dtype=np.uint64)
+        for r in self._words(keys, at, level).toLocalIterator():
+            level.bits[r["part"]][r["word"]] = np.uint64(r["bits"] & 0xFFFFFFFFFFFFFFFF)
+        return level
+
+    def _rest(self, keys: DataFrame, levels: list[Level], parts: range, at: int = 0, *keep: str) -> DataFrame:
+        """Keys of some slices that the levels (from number ``at`` on) accept, with their slice."""
+        shared = share(keys.sparkSession, levels)
         lo, hi, n = parts.start, parts.stop, self.parts
+        cols = ["key", "h1", "h2", *keep]
 
         def run(batches):
             for b in batches:
@@ -171,10 +189,12 @@ class BloomCascade:
                 p = _slice(h1, n)
                 ok = (p >= lo) & (p < hi)
                 for i, level in enumerate(shared()):
-                    ok &= level.has(h1, h2, p, i)
-                yield pa.RecordBatch.from_arrays([pa.array(h1[ok].view(np.int64)), pa.array(h2[ok].view(np.int64)), pa.array(p[ok].astype(np.int32)), b.column("listed").filter(pa.array(ok))], ["h1", "h2", "part", "listed"])
+                    ok &= level.has(h1, h2, p, at + i)
+                kept = pa.array(ok)
+                yield pa.RecordBatch.from_arrays([*[b.column(c).filter(kept) for c in cols], pa.array(p[ok].astype(np.int32))], [*cols, "part"])
 
-        return arrow_map(self.universe.select("h1", "h2", "listed"), run, "h1 long, h2 long, part int, listed boolean")
+        kind = "".join(f", {c} {keys.schema[c].dataType.simpleString()}" for c in keep)
+        return arrow_map(keys.select(*cols), run, f"key string, h1 long, h2 long{kind}, part int")
 
     @staticmethod
     def _words(keys: DataFrame, at: int, level: Level) -> DataFrame:
