@@ -8,11 +8,12 @@ document's row; one that occurs more often is stored once, by its first owner
 (smallest document key and position). Reading joins the ordered chunk lists with the
 shared chunks, puts each file together and verifies it against its digest.
 
-The set of shared digests is broadcast only up to ``max_shared`` (16 bytes each,
-counted first); beyond that documents are joined with their shared positions.
+Documents are joined with the digests they share; Spark sends the smaller side to
+all executors only up to ``max_broadcast`` bytes, measured first, and shuffles both beyond.
 
 Null texts count as empty (one block of padding). Texts of any length are one
-payload. Repeated rows are media of their own; equal texts share all chunks.
+payload. Repeated rows are media of their own; equal texts share all chunks. An empty
+table gives no rows. Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sylva.llm.common import arrow_map, written
+from sylva.llm.common import arrow_map, discard, written
 
 BLOCK = 576
 HEADER = 44
@@ -94,7 +95,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("\u0001"), F.coalesce("text", F.lit("")))).alias("key"))
 
 
-def store_media(docs: DataFrame, max_shared: int = 4_000_000) -> DataFrame:
+def store_media(docs: DataFrame, max_broadcast: int = 64 << 20) -> DataFrame:
     """Write the media of all documents and return the store.
 
     A store row is a document (kind 0: key, doc_id, n_bytes, media_bytes, media_sha256,
@@ -113,17 +114,12 @@ def store_media(docs: DataFrame, max_shared: int = 4_000_000) -> DataFrame:
                 digest += [x for x, _ in found]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(pos, pa.int32()), pa.array(digest, pa.binary())], ["key", "pos", "digest"])
 
-    each = arrow_map(d.select("key", "text"), digests, "key string, pos int, digest binary")
-    counted = each.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "pos")).alias("owner"))
-    shared = written(counted.where("n > 1").select("digest", "owner"), "media-shared")
-    n = shared.count()
-    if n <= max_shared:
-        marked = d.withColumn("marks", F.lit(None).cast("array<struct<digest:binary,own:boolean>>"))
-        known = d.sparkSession.sparkContext.broadcast({bytes(r["digest"]): (r["owner"]["key"], r["owner"]["pos"]) for r in shared.toLocalIterator()})
-    else:
-        own = each.join(shared, "digest").select("key", "digest", (F.struct("key", "pos") == F.col("owner")).alias("own"))
-        marked = d.join(own.groupBy("key").agg(F.collect_set(F.struct("digest", "own")).alias("marks")), "key", "left")
-        known = None
+    each = written(arrow_map(d.select("key", "text"), digests, "key string, pos int, digest binary"), "media-digests")
+    shared = each.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "pos")).alias("owner")).where("n > 1").select("digest", "owner")
+    own = each.join(shared, "digest").select("key", "digest", (F.struct("key", "pos") == F.col("owner")).alias("own"))
+    marks = written(own.groupBy("key", "digest").agg(F.max("own").alias("own")).groupBy("key").agg(F.collect_list(F.struct("digest", "own")).alias("marks")), "media-marks")
+    size = marks.agg(F.sum(F.lit(120) + F.lit(64) * F.size("marks"))).collect()[0][0] or 0  # bytes in memory
+    marked = d.join(F.broadcast(marks) if size <= max_broadcast else marks, "key", "left")
 
     def run(batches):
         names = ["kind", "key", "doc_id", "n_bytes", "media_bytes", "media_sha256", "chunks", "digest", "data"]
@@ -134,15 +130,14 @@ def store_media(docs: DataFrame, max_shared: int = 4_000_000) -> DataFrame:
             rows = []
             for key, doc_id, text, marks in zip(*(b.column(c).to_pylist() for c in ("key", "doc_id", "text", "marks")), strict=True):
                 media = to_wav(payload_of(text))
-                marks = {m["digest"]: m["own"] or False for m in sorted(marks or [], key=lambda m: m["own"])}
+                marks = {m["digest"]: m["own"] for m in marks or []}
                 chunks = []
-                for pos, (digest, data) in enumerate(chunks_of(media)):
-                    owner = known.value.get(digest) if known else None
-                    if owner is None and digest not in marks:
+                for digest, data in chunks_of(media):
+                    if digest not in marks:
                         chunks.append({"inline": data, "digest": None})
                         continue
                     chunks.append({"inline": None, "digest": digest})
-                    if (owner == (key, pos) if known else marks[digest]) and digest not in stored:
+                    if marks[digest] and digest not in stored:
                         stored.add(digest)
                         rows.append((1, None, None, None, None, None, None, digest, data))
                 rows.append((0, key, doc_id, len((text or "").encode()), len(media), hashlib.sha256(media).hexdigest(), chunks, None, None))
@@ -156,6 +151,7 @@ def store_media(docs: DataFrame, max_shared: int = 4_000_000) -> DataFrame:
     try:
         return written(arrow_map(marked.select("key", "doc_id", "text", "marks"), run, schema), "media-store")
     finally:
+        discard(each, marks)
         session.conf.set("spark.sql.parquet.compression.codec", before)
 
 
