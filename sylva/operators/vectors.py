@@ -20,10 +20,10 @@ def nearest(base: DataFrame, queries: DataFrame, row_id: str, vector: str, k: in
     blocks = max(1, -(-first["n"] * first["d"] * 8 // max_bytes))
     found = None
     for i in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64(row_id), F.lit(blocks)) == i).select(row_id, vector, *([before] if before else [])).toPandas()
+        part = queries.where(F.pmod(F.xxhash64(row_id), F.lit(blocks)) == i).select(row_id, vector, *([F.col(before).alias("__before")] if before else [])).toPandas()
         if not len(part):
             continue
-        shared = base.sparkSession.sparkContext.broadcast((part[row_id].to_numpy(), np.array(part[vector].tolist(), dtype=np.float64), part[before].to_numpy() if before else None))
+        shared = base.sparkSession.sparkContext.broadcast((part[row_id].to_numpy(), np.array(part[vector].tolist(), dtype=np.float64), part["__before"].to_numpy() if before else None))
 
         def run(frames, shared=shared):
             ids, q, place = shared.value
@@ -39,7 +39,7 @@ def nearest(base: DataFrame, queries: DataFrame, row_id: str, vector: str, k: in
                     best = best[np.isfinite(d[best])]
                     yield pd.DataFrame({"query": ids[j], "neighbour": own[best], "distance": d[best]})
 
-        got = base.select(row_id, vector, *([before] if before else [])).mapInPandas(run, "query long, neighbour long, distance double")
+        got = base.select(row_id, vector, *([F.col(before).alias("__before")] if before else [])).mapInPandas(run, "query long, neighbour long, distance double")
         found = got if found is None else found.unionByName(got)
     w = Window.partitionBy("query").orderBy("distance", "neighbour")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -233,6 +233,8 @@ class GBT:
     def _weight(self, data: Dataset, df: DataFrame, classes: list[float] | None):
         p = self.params
         weight = F.col(data.weight).cast("double") if data.weight else F.lit(1.0)
+        if data.label is None:
+            return weight
         label = F.col(data.label).cast("double")
         if p.auto_class_weights != "None":
             got = encoding.class_weights(df, data.label, weight, p.auto_class_weights).limit(10_001).collect()

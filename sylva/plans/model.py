@@ -387,19 +387,21 @@ class Model:
         total = sum(score.values()) or 1.0
         return sorted(((self.features[a], self.features[b], 100 * v / total) for (a, b), v in score.items()), key=lambda x: (-x[2], x[0], x[1]))
 
-    def _explained(self, df: DataFrame, row_id: str, name: str, make: Callable) -> DataFrame:
-        """(row, flat array) of ``make(trees, x)`` over Arrow batches; numeric models of one output."""
+    def _explained(self, df: DataFrame, row_id: str, name: str, make: Callable, *keep: str) -> DataFrame:
+        """(row, flat array, the columns ``keep``) of ``make(trees, x)`` over Arrow batches; numeric models of one output."""
         if not self.numeric or self.outputs > 1:
             raise ValueError("explanations need a numeric model of one output")
-        shared, names, bias = df.sparkSession.sparkContext.broadcast(self.to_json()), self.features, self.bias
+        shared, names, bias = df.sparkSession.sparkContext.broadcast(self.to_json()), [f"__f{i}" for i in range(len(self.features))], self.bias
 
         def run(frames):
             trees = Model.from_json(shared.value).trees
             for f in frames:
                 x = f[names].to_numpy(dtype=np.float32, na_value=np.nan)
-                yield pd.DataFrame({row_id: f[row_id], name: list(make(trees, x, bias))})
+                yield pd.DataFrame({row_id: f[row_id], name: list(make(trees, x, bias)), **{k: f[k] for k in keep}})
 
-        return df.select(row_id, *self.columns()).mapInPandas(run, f"{row_id} {dict(df.dtypes)[row_id]}, {name} array<double>")
+        own = df.select(row_id, *[c.alias(n) for c, n in zip(self.columns(), names, strict=True)], *keep)
+        kinds = dict(df.dtypes)
+        return own.mapInPandas(run, f"{row_id} {kinds[row_id]}, {name} array<double>" + "".join(f", {k} {kinds[k]}" for k in keep))
 
     def shap(self, df: DataFrame, row_id: str) -> DataFrame:
         """(row, contributions of the features, then the expected value): exact Shapley values of the path-dependent expectation."""
@@ -420,7 +422,7 @@ class Model:
         from sylva.functions.metrics import flat_term, parse_metric
 
         m = parse_metric(metric)
-        x = self.shap(df, row_id).join(df.select(row_id, F.col(label).cast("double").alias("__t")), row_id)
+        x = self._explained(df.withColumn("__t", F.col(label).cast("double")), row_id, "shap", _shap_rows, "__t")
         total = F.aggregate("shap", F.lit(0.0), lambda s, v: s + v)
         mean = lambda a: (F.sqrt(F.avg(flat_term(m, a, F.col("__t")))) if m.name == "RMSE" else F.avg(flat_term(m, a, F.col("__t"))))
         row = x.withColumn("__a", total).agg(mean(F.col("__a")).alias("base"), *[mean(F.col("__a") - F.col("shap")[i]).alias(f"m{i}") for i in range(len(self.features))])

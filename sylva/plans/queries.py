@@ -336,6 +336,11 @@ ORACLE_SQL = {
         select g from r group by 1 having max(n) - min(n) + 1 <> count(*)""",
     "folds": """with f as (select c_custkey, row_number() over (order by c_custkey) - 1 as p, count(*) over () // 4 as s, count(*) over () % 4 as x from customer)
         select (case when p < x * (s + 1) then p // (s + 1) else x + (p - x * (s + 1)) // s end)::int as fold, count(*) as n, min(c_custkey) as lo, max(c_custkey) as hi from f group by 1""",
+    "gbt_stump": """with v as (select 'l_discount' as f, 1 as k, l_discount::float as v, l_extendedprice / 1000 as y from lineitem union all select 'l_quantity', 0, l_quantity::float, l_extendedprice / 1000 from lineitem union all select 'l_tax', 2, l_tax::float, l_extendedprice / 1000 from lineitem),
+        m as (select f, k, min(v) as lo, max(v) as hi, avg(y) as mean from v group by 1, 2), b as (select f, k, mean, (lo + i::float * (hi - lo) / 16::float)::float as b from m, (select unnest(range(1, 16)) as i)),
+        s as (select k, b, sum(case when v <= b then y - mean else 0 end) as ld, count(*) filter (v <= b)::double as lw, sum(case when v > b then y - mean else 0 end) as rd, count(*) filter (v > b)::double as rw from v join b using (f, k) group by 1, 2),
+        t as (select *, (ld * ld / (lw + 3) + rd * rd / (rw + 3)) / sqrt(1e-100 + power(ld / (lw + 3), 2) * lw + power(rd / (rw + 3), 2) * rw) as score from s where lw > 0 and rw > 0 order by score desc, k, b limit 1)
+        select lw as weight, round(ld / (lw + 3), 5) as value from t union all select rw, round(rd / (rw + 3), 5) from t""",
     "ndcg": f"with {_RANK} select user_id, round(case when i > 0 then d / i else 1 end, 6) as value from (select user_id, sum(case when pos <= 10 then target / log2(pos + 1) else 0 end) as d, sum(case when ipos <= 10 then target / log2(ipos + 1) else 0 end) as i from r group by 1)",
     "dcg_exp": f"with {_RANK} select user_id, round(sum((power(2, target) - 1) / log2(pos + 1)), 6) as value from r group by 1",
     "mrr": f"with {_RANK} select user_id, round(coalesce(max(case when pos <= 5 and target > 0.5 then 1.0::double / pos end), 0), 6) as value from r group by 1",
