@@ -491,7 +491,7 @@ def test_detectors():
             d.add(float(v))
         assert not d.stopped
         for v in range(12):
-            d.add(19.0 - 4 * v)
+            d.add(19.0 - 40 * v)
         assert d.stopped, kind
 
 
