@@ -405,12 +405,19 @@ class _Run:
         values, compiled, kept = np.zeros((len(tree.feature), k)), tree.compiled(), list(self.rows.fresh)
         block = self.loss.name == "MultiClass" and p.leaf_method == "Newton"
         weights = None
+        # without sampling and noise the splits' own sums are those of the leaves
+        known = p.leaf_method in ("Gradient", "Simple") and p.leaf_estimation_iterations == 1 and p.bootstrap_type == "No" and all(i in tree.sums for i in tree.leaves())
         for _ in range(p.leaf_estimation_iterations):
             rows = replace(self.rows, fresh=[*kept, (compiled, values)] if values.any() else kept)
             if p.leaf_method == "Exact":
                 step, weights = leaf_ops.exact_values(x, rows, tree, self.loss)
             else:
-                s = grower.leaf_sums(x, rows, tree, _softmax_block if block else None)
+                if known:
+                    s = np.zeros((len(tree.feature), k + 2))
+                    for i in tree.leaves():
+                        s[i] = tree.sums[i]
+                else:
+                    s = grower.leaf_sums(x, rows, tree, _softmax_block if block else None)
                 weights = s[:, -2]
                 if block:
                     step = leaf_ops.block_newton(s[:, :k], s[:, k:-2], self.l2)
@@ -574,7 +581,7 @@ def _grow(x: DataFrame, rows: grower.Rows, feats: list[Feature], chosen: list[in
         value = value * factor[c.feature] - penalty[c.feature] - per_object[c.feature] * n[:, None]
         value = np.where(ok, value, -np.inf)
         best = value.argmax(axis=1)
-        return [(value[i, b] - own[i], int(c.feature[b]), int(c.border[b]), bool(c.equal[b]), c.left[i, b, -1] if not symmetric else c.left[:, b, -1], c.right[i, b, -1] if not symmetric else c.right[:, b, -1]) for i, b in enumerate(best)]
+        return [(value[i, b] - own[i], int(c.feature[b]), int(c.border[b]), bool(c.equal[b]), c.left[i, b] if not symmetric else c.left[:, b], c.right[i, b] if not symmetric else c.right[:, b]) for i, b in enumerate(best)]
 
     open_, leaves = [0], 1
     ready: dict[int, tuple] = {}
@@ -610,9 +617,10 @@ def _grow(x: DataFrame, rows: grower.Rows, feats: list[Feature], chosen: list[in
         nxt, parents = [], {}
         for j, (n, (_, feature, border, same, left, right)) in enumerate(splits.items()):
             a, b = tree.split(n, feature, border, same)
-            nl, nr = (left[j], right[j]) if symmetric and np.ndim(left) else (left, right)
+            if left is not None:
+                tree.sums[a], tree.sums[b] = (left[j], right[j]) if symmetric else (left, right)
             if n in hist:
-                small, large = (a, b) if nl <= nr else (b, a)
+                small, large = (a, b) if tree.sums[a][-1] <= tree.sums[b][-1] else (b, a)
                 parents[large] = (n, small, hist.pop(n))
             ready.pop(n, None)
             nxt += [a, b]
@@ -640,7 +648,7 @@ def _by_parts(x, rows, tree, nodes, bins, chosen, equal, room, p, l2, factor, pe
         value = value + noise * rng.standard_normal(value.shape)
     value = np.where((ok > 0).all(axis=0), value * factor[c.feature] - penalty[c.feature], -np.inf)
     b = int(value.argmax())
-    return value[b], int(c.feature[b]), int(c.border[b]), bool(c.equal[b]), 0.0, 0.0
+    return value[b], int(c.feature[b]), int(c.border[b]), bool(c.equal[b]), None, None
 
 
 class _Watch:

@@ -32,6 +32,7 @@ class Grown:
     right: list[int] = field(default_factory=lambda: [0])
     depth: list[int] = field(default_factory=lambda: [0])
     values: np.ndarray | None = None  # (nodes, outputs)
+    sums: dict[int, np.ndarray] = field(default_factory=dict)  # node -> channels, as its split counted it
 
     def split(self, at: int, feature: int, border: int, equal: bool) -> tuple[int, int]:
         self.feature[at], self.border[at], self.equal[at] = feature, border, equal
@@ -133,8 +134,13 @@ def pointwise(ders: Callable) -> Callable:
 def _sums(df: DataFrame, run, width: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(cells, sums): rows (cell, v0 ..) of all tasks added up."""
     schema = "cell long, " + ", ".join(f"v{i} double" for i in range(width))
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
-    got = df.mapInArrow(run, schema).groupBy("cell").agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(width)]).toArrow()
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, "50000")  # rows are a few numbers each
+    try:
+        got = df.mapInArrow(run, schema).groupBy("cell").agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(width)]).toArrow()
+    finally:
+        conf.set(name, before)
     return got.column("cell").to_numpy(), np.stack([got.column(f"v{i}").to_numpy() for i in range(width)], axis=1) if got.num_rows else np.zeros((0, width))
 
 
