@@ -1,7 +1,9 @@
 """A corpus pipeline: quality rules, toxicity, near duplicates, mixing, tokens.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
-as Parquet and read again as the next one's docs.
+as Parquet and read again as the next one's docs. All read the columns of documents
+only, so other columns may have any name and are dropped; all take nulls in any column, empty and
+very long texts whole, and give no rows for an empty table.
 """
 
 from __future__ import annotations
@@ -17,11 +19,15 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that no quality rule rejects. Null and empty texts are too short and go; repeated rows are judged alike and stay repeated."""
     return quality.apply_rules(docs.select(*COLUMNS))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The scorer learns from the whole table's labelled documents, so that a stricter first stage doesn't starve it."""
+    """The scorer learns from the whole table's labelled documents, so that a stricter first stage doesn't starve it.
+
+    Equal texts are judged alike, repeated rows stay repeated; without labels of both classes all rows stay.
+    """
     net = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return toxicity.drop_toxic(docs.select(*COLUMNS), net)
 
@@ -30,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group the document with the smallest id stays, once; a row with a null id stays only if its group has no other.
 
     A row is named by its id and text, so rows with null ids and several texts of one id are told apart.
-    Documents without words are in no group and stay.
+    Documents without words are in no group and stay. Rows that agree in id and text are one row; a repeated id with another text is another row.
     """
     docs = docs.select(*COLUMNS).withColumn("text_hash", F.sha2("text", 256))
     classes, labels = ngram_join.NgramJoin().groups(docs, "text_hash")
@@ -42,7 +48,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it; what is taken in part is cut after its last word taken."""
+    """Every document as often as the mix takes it; what is taken in part is cut after its last word taken.
+
+    Rows without words are never taken. Null sources are a source; repeated rows and rows without an id are documents of their own.
+    """
     taken, _ = mixing.mix(docs.select(*COLUMNS), F.array("source"), keep=("text", "lang", "source"))
     out = taken.where("taken > 0")
     copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
@@ -56,6 +65,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every row; null texts have no tokens, repeated rows stay repeated."""
     import public_tokenizers
 
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
