@@ -10,12 +10,13 @@ driver: its size is patterns times sources, bounded by ``max_arcs``, not the cor
 Per pattern the flow gives a number of words; whole repetitions go to every
 document, the rest to documents in the order of a seeded hash. The place where
 the rest runs out is found in a histogram of hash buckets (a bounded number of
-rows to the driver) and only the documents of one bucket per pattern are sorted,
-so a source with a third of all rows costs no more than the others. The document
+rows to the driver) and only the documents of one bucket per pattern are sorted, equal
+rows as one with their number, so a source with a third of all rows costs no more than the others. The document
 at the cut is taken in part, to the word.
 
 Null and empty texts have size 0 and are never taken; null sources form their
-own source, ordered last. Repeated rows are documents of their own.
+own source, ordered last. Repeated rows are documents of their own. An empty table gives no rows.
+Only doc_id, text, the columns of ``members`` and of ``keep`` are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -128,7 +129,7 @@ def mix(docs: DataFrame, members: Column, weights=lambda i: float(1 + i % 3), re
     quota = {p: sum(f) for p, f in zip(patterns, flow, strict=True)}
     plan = _cuts(d, hist, patterns, pattern_words, quota)
     out = _take(d, plan, keep)
-    info = out.sparkSession.createDataFrame([(x, s, t) for x, s, t in zip(names, sizes, targets, strict=True)], "source string, source_size long, target double")
+    info = out.sparkSession.createDataFrame([(x, s, t) for x, s, t in zip(names, sizes, map(float, targets), strict=True)], "source string, source_size long, target double")
     return out, info
 
 
@@ -151,6 +152,10 @@ def _take(d: DataFrame, plan: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     x = d.join(F.broadcast(plan), "members").withColumn("at_cut", F.coalesce(F.col("bucket") == F.col("cut"), F.lit(False)))
     base = F.col("size") * F.col("whole")
     sure = x.where(~F.col("at_cut")).withColumn("taken", base + F.when(F.coalesce(F.col("bucket") < F.col("cut"), F.lit(False)), F.col("size")).otherwise(F.lit(0).cast("long")))
-    run = F.coalesce(F.sum("size").over(Window.partitionBy("pattern").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edge = x.where("at_cut").withColumn("taken", base + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("left") - run)))
-    return sure.unionByName(edge).select("doc_id", "size", "members", F.col("taken").cast("long").alias("taken"), "order", *keep)
+    alike = ["pattern", "order", "doc_id", "size", "members", "whole", "left", *keep]
+    edge = x.where("at_cut").groupBy(*alike).agg(F.count(F.lit(1)).alias("__rows"))
+    run = F.coalesce(F.sum(F.col("size") * F.col("__rows")).over(Window.partitionBy("pattern").orderBy("order", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edge = edge.withColumn("__run", run).withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__rows") - 1)))
+    edge = edge.withColumn("taken", base + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("left") - F.col("__run") - F.col("size") * F.col("__i"))))
+    out = ["doc_id", "size", "members", F.col("taken").cast("long").alias("taken"), "order", *keep]
+    return sure.select(*out).unionByName(edge.select(*out))
