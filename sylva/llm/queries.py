@@ -97,6 +97,15 @@ ORACLE_SQL = {
         select page_id, host, path, rule,
                case when rule in ('com/en/', 'example.net/de/8', 'org/es/') then 'block' when rule is not null then 'allow'
                     when listed then 'block' else 'allow' end as verdict, listed from r""",
+    "op2_ngram_join": r"""
+        with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+        s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [hash(w)] else list_transform(range(1, len(w) - 3), lambda i: hash(w[i:i + 4])) end) as s from d),
+        n as (select doc_id, count(*) as n from s group by 1),
+        p as (select a.doc_id as x, b.doc_id as y, count(*) as shared from s a join s b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+        e as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * shared >= 80 * (a.n + b.n - shared)),
+        r(doc_id, other) as (select doc_id, doc_id from d union select r.doc_id, e.y from r join e on r.other = e.x)
+        select doc_id, coalesce(n, 0) as n_shingles, least_id as component_id
+        from (select doc_id, min(other) as least_id from r group by 1) left join n using (doc_id)""",
     "op9_quality": r"""
         with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
         n as (select *, row_number() over () as k from d),
