@@ -21,7 +21,8 @@ of pending bytes; transitions over whole tokens are memoised. Ill-formed bytes
 become U+FFFD as in ``bytes.decode(errors="replace")``.
 
 Null texts count as empty (no tokens). Long texts, and long pieces inside them,
-take linear time. Repeated rows get equal rows.
+take linear time. Repeated rows get equal rows. An empty table gives no rows. Only
+doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Encodes bytes to token ids. One instance per process; it holds caches."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 300_000, max_pieces: int = 600_000, max_pairs: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000, max_pieces: int = 250_000, max_pairs: int = 250_000):
         self.ranks, self.max_states, self.max_pieces, self.max_pairs = ranks, max_states, max_pieces, max_pairs
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.child: dict[int, int] = {}  # node << 8 | byte -> node

@@ -15,7 +15,8 @@ with constant memory (a digest over the whole conversation is sequential by
 definition); formatting of a turn looks at that turn only.
 
 Null texts are empty, a null role too; null conv_ids form one conversation;
-equal turn numbers are ordered by role and text. Texts of any length are whole.
+equal turn numbers are ordered by role and text, repeated rows are turns of their own. Texts of any
+length are whole. An empty table gives no rows. Only conv_id, turn, role and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

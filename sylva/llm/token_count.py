@@ -10,7 +10,8 @@ and comes out as its UTF-8 bytes. Scores are added in double precision, from lef
 to right, part by part.
 
 Null and empty texts have no tokens and score 0. Parts of any length take linear
-time; only short parts are cached. Repeated rows get equal rows.
+time; only short parts are cached. Repeated rows get equal rows. An empty table gives no
+rows. Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

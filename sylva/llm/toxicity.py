@@ -13,7 +13,8 @@ drawn from it. Labels are given only for training; id, language and source are n
 
 Null and empty texts have no words; their score is that of a window without
 words, which is clean. Long texts give more windows, in blocks of bounded size.
-Equal texts get equal scores. Without labels of both classes every score is 0.
+Equal texts get equal scores, repeated rows stay repeated. Without labels of both classes every score is 0.
+An empty table gives no rows. Only doc_id, text and (of the labels) toxic are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -86,7 +87,7 @@ def starts(n: int, s: Settings) -> list[int]:
 class Vocabulary:
     """Numbers words as they come."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         self.limit = limit
         self.clear()
 
