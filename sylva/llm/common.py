@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import pickle
 import sys
 import types
 import uuid
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,12 +65,26 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str) ->
     return df.mapInArrow(fn, schema)
 
 
-def per_process(key, make: Callable, limit: int = 2):
-    """``make()``, kept for later tasks of the same Python worker (functions arrive anew with every task); few, since workers outlive queries."""
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can; else a worker keeps the peak of all stages it served."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform.startswith("linux") else None
+    if trim is not None:
+        trim(0)
+
+
+def per_process(key, make: Callable, limit: int = 1):
+    """``make()``, kept for later tasks of the same Python worker (functions arrive anew with every task).
+
+    One value, since workers outlive queries: the one before goes first, and its memory back to the system.
+    """
     store = sys.modules.setdefault("_sylva_process", types.ModuleType("_sylva_process")).__dict__.setdefault("kept", {})
     if key not in store:
-        while len(store) >= limit:
-            store.pop(next(iter(store)))
+        if len(store) >= limit:
+            while len(store) >= limit:
+                store.pop(next(iter(store)))
+            give_back()
         store[key] = make()
     return store[key]
 

@@ -9,10 +9,12 @@ training documents.
 The network is fitted on the driver on a bounded sample of labelled documents
 (``Settings.positives`` and ``Settings.negatives``, by a hash of the id). A toxic
 document teaches through its strongest window, a clean one through all windows
-drawn from it. Labels are given only for training; id, language and source are never inputs.
+drawn from it. The driver gets no whole texts: a document with more windows than
+training draws from one comes as that many of its windows, drawn by a hash of its id; the calibration's
+whole texts are scored by the tasks. Labels are given only for training; id, language and source are never inputs.
 
 Null and empty texts have no words; their score is that of a window without
-words, which is clean. Long texts give more windows, in blocks of bounded size.
+words, which is clean. Long texts give more windows, read and scored in parts of bounded size.
 Equal texts get equal scores, repeated rows stay repeated. Without labels of both classes every score is 0.
 An empty table gives no rows. Only doc_id, text and (of the labels) toxic are read, so other columns may have any name.
 """
@@ -20,13 +22,14 @@ An empty table gives no rows. Only doc_id, text and (of the labels) toxic are re
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sylva.llm.common import arrow_map, share
+from sylva.llm.common import arrow_map, discard, share, written
 
 
 @dataclass(frozen=True)
@@ -47,13 +50,22 @@ class Settings:
 
 
 #: ASCII punctuation separates words, as white space does.
-SEPARATE = bytes(32 if 33 <= c < 48 or 58 <= c < 65 or 91 <= c < 97 or 123 <= c < 127 else c for c in range(256))
+SEPARATE = bytes(32 if 9 <= c < 14 or 33 <= c < 48 or 58 <= c < 65 or 91 <= c < 97 or 123 <= c < 127 else c for c in range(256))
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(SEPARATE).split()
 
 
+def word_parts(text: str | None, size: int = 1 << 16) -> Iterator[list[bytes]]:
+    """The words in order, those of about ``size`` bytes at a time; at least one part."""
+    data, at = (text or "").lower().encode().translate(SEPARATE), 0
+    while len(data) - at > size and (cut := data.find(b" ", at + size)) >= 0:
+        yield data[at:cut].split()
+        at = cut
+    yield data[at:].split()
+
+
 def features(words: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per word the bucket of its hash; the buckets of its 3- to 5-grams of bytes with ends marked, all in one array; how many each has."""
     marked = [b"^" + w + b"$" for w in words]
@@ -87,7 +99,7 @@ def starts(n: int, s: Settings) -> list[int]:
 class Vocabulary:
     """Numbers words as they come."""
 
-    def __init__(self, limit: int = 200_000):
+    def __init__(self, limit: int = 100_000):
         self.limit = limit
         self.clear()
 
@@ -205,12 +217,20 @@ class Network:
 
 
 def fit(texts: list[str], labels: list[int], s: Settings = Settings()) -> Network | None:
-    """Train on whole documents; None without both classes."""
+    """Train on whole documents in memory; None without both classes."""
+    net = fit_parts(([words_of(t)] for t in texts), labels, s)
+    if net is not None:
+        net.calibration = _calibrate(Scorer(net).logits(texts), np.array(labels, dtype=np.float32))
+    return net
+
+
+def fit_parts(parts: Iterable[list[list[bytes]]], labels: list[int], s: Settings = Settings()) -> Network | None:
+    """A network that isn't calibrated yet, trained on the windows of each document's parts; None without both classes."""
     y = np.array(labels, dtype=np.float32)
     if not len(y) or y.min() == y.max():
         return None
     net, voc, rng = Network(s), Vocabulary(), np.random.default_rng(s.seed + 1)
-    docs = [voc.ids(words_of(t)) for t in texts]
+    docs = [[ids[j : j + s.window] for ids in map(voc.ids, p) for j in starts(len(ids), s)] for p in parts]
     first, second, step = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2)), None, 0
     first, second = first
     weight = np.where(y > 0, min(4.0, (len(y) - y.sum()) / y.sum()) ** 0.5, 1.0).astype(np.float32)
@@ -221,9 +241,9 @@ def fit(texts: list[str], labels: list[int], s: Settings = Settings()) -> Networ
             rate = s.rate * max(0.02, 1 - step / s.steps) ** 0.5
             windows, owner = [], []
             for d in bag:
-                all_ = starts(len(docs[d]), s)
-                for j in all_ if len(all_) <= s.drawn else rng.choice(all_, s.drawn, replace=False):
-                    windows.append(docs[d][j : j + s.window])
+                n = len(docs[d])
+                for j in range(n) if n <= s.drawn else rng.choice(n, s.drawn, replace=False):
+                    windows.append(docs[d][j])
                     owner.append(d)
             owner = np.array(owner)
             at, mask = _padded(windows, s.window)
@@ -252,9 +272,6 @@ def fit(texts: list[str], labels: list[int], s: Settings = Settings()) -> Networ
                 first[k] += 0.1 * (v - first[k])
                 second[k] += 0.01 * (v * v - second[k])
                 net.p[k] -= (rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    scorer = Scorer(net)
-    raw = scorer.logits(texts)
-    net.calibration = _calibrate(raw, y)
     return net
 
 
@@ -279,7 +296,7 @@ def _padded(windows: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarra
 class Scorer:
     """Scores whole texts with a trained network; words are projected once each."""
 
-    def __init__(self, net: Network, block: int = 2048):
+    def __init__(self, net: Network, block: int = 512):
         self.net, self.block = net, block
         self.voc = Vocabulary()
         self.table = {w: np.zeros((0, 3 * net.s.hidden), np.float32) for w in "fb"}
@@ -302,9 +319,11 @@ class Scorer:
     def logits(self, texts: list[str | None]) -> np.ndarray:
         """The strongest window's logit of each text."""
         s, out = self.net.s, np.full(len(texts), -np.inf)
-        windows, owner, pending = [], [], 0
+        windows, owner = [], []
 
         def flush() -> None:
+            if not windows:
+                return
             order = np.argsort([len(w) for w in windows], kind="stable")
             self._grow()
             for i in range(0, len(order), self.block):
@@ -317,18 +336,27 @@ class Scorer:
             owner.clear()
 
         for d, text in enumerate(texts):
-            if len(self.voc.words) > self.voc.limit:
-                flush()
-                self.voc.clear()
-                self.done = 0
-            ids = self.voc.ids(words_of(text))
-            for j in starts(len(ids), s):
-                windows.append(ids[j : j + s.window])
+            ids, whole = np.zeros(0, np.int32), 0  # words from the next window's start on; windows so far
+            for words in word_parts(text):
+                if len(self.voc.words) > self.voc.limit:
+                    flush()
+                    held = [self.voc.words[i] for i in ids]
+                    self.voc.clear()
+                    self.done = 0
+                    ids = self.voc.ids(held)
+                new = self.voc.ids(words)
+                ids = np.concatenate([ids, new]) if len(ids) else new
+                full = range(0, len(ids) - s.window + 1, s.stride)
+                for j in full:
+                    windows.append(ids[j : j + s.window])
+                    owner.append(d)
+                ids, whole = ids[len(full) * s.stride :], whole + len(full)
+                if len(windows) >= 4 * self.block:
+                    flush()
+            if not whole or len(ids) > s.window - s.stride:
+                windows.append(ids)
                 owner.append(d)
-            if len(windows) >= 4 * self.block:
-                flush()
-        if windows:
-            flush()
+        flush()
         return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -336,21 +364,61 @@ class Scorer:
         return sigmoid(a * self.logits(texts) + b)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[list[str], list[int]]:
-    """A bounded sample of labelled documents by a hash of the id, held-out ids (crc32 of the id's text mod 5 = 0) left out."""
+def training_rows(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """doc_id, text, toxic of a bounded sample of labelled documents by a hash of the id, held-out ids (crc32 of the id's text mod 5 = 0) left out."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("by", F.xxhash64(F.lit(s.seed), "doc_id"))
     chosen = known.where("toxic = 1").orderBy("by", "doc_id").limit(s.positives).unionByName(known.where("toxic = 0").orderBy("by", "doc_id").limit(s.negatives))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id")
-    texts, y = [], []
-    for r in rows.toLocalIterator():
-        texts.append(r["text"])
-        y.append(r["toxic"])
-    return texts, y
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+
+
+def excerpt(text: str | None, most: int, seed: list[int], s: Settings) -> list[bytes]:
+    """The words of a text of up to ``most`` windows, as one part; of a longer one that many of its windows, each a part."""
+    at = starts(sum(map(len, word_parts(text))), s)
+    if len(at) <= most:
+        return [b" ".join(words_of(text))]
+    at = np.sort(np.random.default_rng(seed).choice(at, most, replace=False))
+    out, held, first = [], [], 0
+    for words in word_parts(text):
+        held += words
+        for j in at[len(out) :].tolist():
+            if j + s.window > first + len(held):
+                break
+            out.append(b" ".join(held[j - first : j - first + s.window]))
+        past = min(len(held), int(at[len(out)]) - first) if len(out) < most else len(held)
+        del held[:past]
+        first += past
+    return out + [b" ".join(held[j - first : j - first + s.window]) for j in at[len(out) :].tolist()]
 
 
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Network | None:
-    return fit(*training_rows(docs, labels, s), s)
+    """Fitted on the driver on at most about as many windows as training draws; the calibration's logits come from the tasks."""
+    rows = written(training_rows(docs, labels, s), "toxicity-sample")
+    most = -(-s.steps * s.bags * s.drawn // max(1, rows.count()))
+
+    def parts(batches):
+        for b in batches:
+            got = [excerpt(t, most, [s.seed, i % (1 << 64)], s) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(got, pa.list_(pa.binary()))], ["doc_id", "toxic", "parts"])
+
+    def by_id(df: DataFrame, column: str) -> tuple[list, list]:
+        got = sorted(((r["doc_id"], r["toxic"], r[column]) for r in df.toLocalIterator()), key=lambda r: r[0])
+        return [r[2] for r in got], [r[1] for r in got]
+
+    one = dict(rows.dtypes)
+    texts, y = by_id(arrow_map(rows, parts, f"doc_id {one['doc_id']}, toxic {one['toxic']}, parts array<binary>"), "parts")
+    net = fit_parts(([p.split() for p in t] for t in texts), y, s)
+    if net is not None:
+        shared = share(rows.sparkSession, Scorer(net))
+
+        def logits(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(shared().logits(b.column("text").to_pylist()))], ["doc_id", "toxic", "logit"])
+
+        raw, y = by_id(arrow_map(rows, logits, f"doc_id {one['doc_id']}, toxic {one['toxic']}, logit double"), "logit")
+        net.calibration = _calibrate(np.round(raw, 4), np.array(y, dtype=np.float32))  # rounded, since a logit's last bits vary with its batch
+    discard(rows)
+    return net
 
 
 def _scoring(net: Network | None, spark):

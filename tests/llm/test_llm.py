@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import sys
 import zlib
 from fractions import Fraction
 
@@ -608,6 +609,37 @@ def test_mix_equals_a_walk_in_order(spark):
             assert sorted(got) == sorted(want)
 
 
+def test_toxicity_long_texts_stay_off_the_driver(spark, monkeypatch):
+    r = random.Random(4)
+    texts = [" ".join(f"w{r.randrange(9000)}" for _ in range(n)) for n in (30_000, 25_000, 12_000, 48, 49, 84, 85, 0)]
+    s = toxicity.Settings(steps=2, bags=8, drawn=2)  # draws 32 windows
+    seen, fit = [], toxicity.fit_parts
+    monkeypatch.setattr(toxicity, "fit_parts", lambda parts, y, s: fit(seen.extend(parts) or seen, y, s))
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5][: len(texts)]
+    labels = spark.createDataFrame([(i, 1, k % 2) for k, i in enumerate(ids)], "doc_id long, quality int, toxic int")
+    net = toxicity.train(frame(spark, texts, ids), labels, s)
+    assert [len(p) for p in seen] == [4, 4, 4, 1, 1, 1, 1, 1]
+    for text, parts in zip(texts, seen, strict=True):
+        w = toxicity.words_of(text)
+        assert all(p in [w[j : j + s.window] for j in toxicity.starts(len(w), s)] for p in parts) if len(w) > 85 else parts == [w]
+    scorer, small = toxicity.Scorer(net), toxicity.Scorer(net, block=8)
+    small.voc.limit = 500
+    for text, got, again in zip(texts, scorer.logits(texts), small.logits(texts), strict=True):
+        w = toxicity.words_of(text)
+        best = toxicity.Scorer(net).logits([" ".join(x.decode() for x in w[j : j + s.window]) for j in toxicity.starts(len(w), s)]).max()
+        assert abs(got - best) < 1e-4 and abs(again - best) < 1e-4
+
+
+def test_worker_keeps_one_value():
+    from sylva.llm.common import per_process
+
+    made = []
+    for key in ("a", "a", "b", "a"):
+        assert per_process(("test", key), lambda: made.append(key) or key) == key  # noqa: B023
+    assert made == ["a", "b", "a"]
+    assert [k for k in sys.modules["_sylva_process"].kept if k[0] == "test"] == [("test", "a")]
+
+
 # --- pipeline ---
 
 
