@@ -11,7 +11,13 @@ last one of that prefix's encoding; tokens are emitted when the encodings up to
 all live branches agree, so the output lags the input by a bounded lookahead (a
 branch dies when no token continues it, at most the longest token's bytes).
 States and transitions are built when first needed and dropped when there are
-``max_states``.
+``max_states``. What a branch is preceded by matters only for the tokens still below
+its trie node: where these are few, branches that the same ones may continue share a
+predecessor, and a branch that none may continue is dropped, so there are fewer states.
+
+The pieces of a batch that aren't known are walked in order, so that those with a
+common beginning walk it once. Pieces met lately keep their ids, packed: when half of
+``max_pieces`` are new, they become the old half, and old ones not met again are dropped.
 
 Pairs are checked on the merge trees of their two tokens. As in the
 reference tokenizer, a piece that is itself a token is that token.
@@ -45,38 +51,52 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+#: Branches with at most so many tokens below them are merged if they go on alike.
+FEW = 8
+
+#: Bits of a state's number and a byte; more than 2 ** 22 states aren't kept.
+SHIFT = 30
+STATE = (1 << SHIFT) - 1
+
+
 class Transducer:
     """Encodes bytes to token ids. One instance per process; it holds caches."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000, max_pieces: int = 250_000, max_pairs: int = 250_000):
-        self.ranks, self.max_states, self.max_pieces, self.max_pairs = ranks, max_states, max_pieces, max_pairs
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000, max_pieces: int = 400_000, max_pairs: int = 150_000):
+        self.ranks, self.max_states, self.max_pieces, self.max_pairs = ranks, min(max_states, 1 << SHIFT - 8), max_pieces, max_pairs
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.child: dict[int, int] = {}  # node << 8 | byte -> node
         self.token_at, self.depth = [-1], [0]  # by node
-        self.inner = {0}  # nodes with children
-        for token, i in ranks.items():
-            node = 0
+        self.order = array("i", (ranks[token] for token in sorted(ranks)))  # the tokens below a node stand together
+        self.first, self.past = array("i", [0]), array("i", [0])  # by node, in ``order``: those below it
+        for at, i in enumerate(self.order):
+            node, token = 0, self.bytes_of[i]
             for b in token:
+                self.past[node] = at + 1
                 nxt = self.child.get(node << 8 | b)
                 if nxt is None:
                     nxt = self.child[node << 8 | b] = len(self.token_at)
                     self.token_at.append(-1)
                     self.depth.append(self.depth[node] + 1)
-                    self.inner.add(node)
+                    self.first.append(at)
+                    self.past.append(at)
                 node = nxt
             self.token_at[node] = i
+            self.first[node] = self.past[node] = at + 1
         self.length = {i: len(t) for t, i in ranks.items()}
         self.own: dict[int, bool] = {}
         self.pairs: dict[int, bool] = {}
         self.spines: dict[int, dict[int, list]] = {0: {}, -1: {}}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, bytes] = {}  # ids as the bytes of an array("I")
+        self.old_pieces: dict[str, bytes] = {}
         self._forget()
 
     def _forget(self) -> None:
-        # a state: its live branches by their start, each (token before its start) + 1 << 24 | trie node
-        self.states = {(0,): 0}
-        self.keys = [(0,)]
-        self.moves: dict[int, int] = {}  # state << 8 | byte -> next state << 24 | token that ends here
+        # a state: its live branches by their start, each (token before its start) + 1 << 24 | trie node, as the bytes of an array("q")
+        self.keys = [array("q", [0]).tobytes()]
+        self.states = {self.keys[0]: 0}
+        self.alike: dict[int, int] = {}  # node << FEW | which tokens below it may follow -> token before + 1
+        self.moves: dict[int, int] = {}  # state << 8 | byte -> token that ends here << SHIFT | next state << 8
 
     def merge(self, data: bytes, stop: int = 1) -> list[bytes]:
         """Plain BPE down to ``stop`` parts: merge the adjacent pair of the lowest rank, leftmost first. For single tokens."""
@@ -120,40 +140,54 @@ class Transducer:
         if ok is None:
             if len(self.pairs) >= self.max_pairs:
                 self.pairs.clear()
-            ok = self.pairs[a << 24 | b] = self.compatible(-1, a) and self.compatible(-1, b) and not self._merges(a, b)
+            ok = self.pairs[a << 24 | b] = self.compatible(-1, b) and self.compatible(-1, a) and not self._merges(a, b)
         return ok
 
     def _merges(self, a: int, b: int) -> bool:
-        ranks, left = self.ranks, self._spine(b, 0)
-        for x, until_x in self._spine(a, -1):
+        rank, left, right = self.ranks.get, self.spines[0].get(b) or self._spine(b, 0), self.spines[-1].get(a) or self._spine(a, -1)
+        for x, until_x in right:
             for y, until_y in left:
-                r = ranks.get(x + y)
+                r = rank(x + y)
                 if r is not None and r < until_x and r <= until_y:
                     return True
         return False
 
     def _step(self, state: int, byte: int) -> int:
         """Determinise one transition: the branches that survive, and the token that ends at the new boundary."""
-        alive, token, child, inner = [], -1, self.child, self.inner
-        for branch in self.keys[state]:
+        if len(self.keys) >= self.max_states:
+            state = self._restart(state >> 8) << 8
+        alive, token, child, token_at, first, past = array("q"), -1, self.child, self.token_at, self.first, self.past
+        for branch in array("q", self.keys[state >> 8]):
             to = child.get((branch & 0xFFFFFF) << 8 | byte)
             if to is None:
                 continue
-            if token < 0 and (t := self.token_at[to]) >= 0 and self.compatible((branch >> 24) - 1, t):
+            before = branch >> 24
+            if token < 0 and (t := token_at[to]) >= 0 and self.compatible(before - 1, t):
                 token = t
-            if to in inner:
-                alive.append(branch & ~0xFFFFFF | to)
+            if 0 < past[to] - first[to] <= FEW and before:
+                before = self._stand_in(before, to)
+            if past[to] > first[to] and before >= 0:
+                alive.append(before << 24 | to)
         if token < 0:
             raise ValueError("a byte has no token in the vocabulary")
         alive.append(token + 1 << 24)
-        key = tuple(alive)
+        key = alive.tobytes()
         to = self.states.get(key)
         if to is None:
             to = self.states[key] = len(self.keys)
             self.keys.append(key)
-        move = self.moves[state << 8 | byte] = to << 24 | token
+        move = self.moves[state | byte] = token << SHIFT | to << 8
         return move
 
+    def _stand_in(self, before: int, node: int) -> int:
+        """For a branch's token before it (+ 1), one that the same tokens below the node may follow: 0 if all may, -1 if none."""
+        every, fit, base, own, known = 0, 0, before - 1 << 24, self.own.get, self.pairs.get
+        for t in self.order[self.first[node] : self.past[node]]:
+            if own(t) or self.compatible(-1, t):
+                every, ok = every << 1 | 1, known(base | t)
+                fit = fit << 1 | (self.compatible(before - 1, t) if ok is None else ok)
+        return -1 if not fit else 0 if fit == every else self.alike.setdefault(node << FEW | fit, before)
+
     def _restart(self, state: int) -> int:
         """Forget all states but this one; its new number."""
         key = self.keys[state]
@@ -172,15 +206,13 @@ class Transducer:
         """
         state, ends, done = 0, [-1], 0  # ends[0] stands at byte ``done``
         for n, byte in enumerate(data, 1):
-            move = self.moves.get(state << 8 | byte)
+            move = self.moves.get(state | byte)
             if move is None:
-                if len(self.keys) >= self.max_states:
-                    state = self._restart(state)
                 move = self._step(state, byte)
-            state = move >> 24
-            ends.append(move & 0xFFFFFF)
+            state = move & STATE
+            ends.append(move >> SHIFT)
             if n % block == 0:
-                chains = [self._back(ends, n - done - self.depth[branch & 0xFFFFFF]) for branch in self.keys[state]]
+                chains = [self._back(ends, n - done - self.depth[branch & 0xFFFFFF]) for branch in self.keys[state >> 8]]
                 size = 0
                 for tokens in zip(*chains, strict=False):
                     if len(set(tokens)) > 1:
@@ -198,17 +230,61 @@ class Transducer:
             at -= length[ends[at]]
         return out[::-1]
 
+    def _walk(self, pieces: list[bytes]) -> Iterator[list[int]]:
+        """What ``stream`` gives for each of some short pieces; sorted ones walk a beginning they share once."""
+        last, moves, ends, length = b"", self.moves, [], self.length
+        for data in pieces:
+            shared = 0
+            if moves is self.moves:
+                for x, y in zip(data, last, strict=False):
+                    if x != y:
+                        break
+                    shared += 1
+            del ends[shared:]
+            state, moves, last = ends[-1] & STATE if ends else 0, self.moves, data
+            known = moves.get
+            for byte in data[shared:]:
+                move = known(state | byte)
+                if move is None:
+                    move = self._step(state, byte)
+                    known = self.moves.get  # the old states are gone when it restarted, so the next piece shares nothing
+                ends.append(move)
+                state = move & STATE
+            out, at = [], len(ends) - 1
+            while at >= 0:
+                token = ends[at] >> SHIFT
+                out.append(token)
+                at -= length[token]
+            out.reverse()
+            yield out
+
+    def encode_pieces(self, texts: Iterable[str]) -> dict[str, bytes]:
+        """The ids of pieces, each as the bytes of an ``array("I")``."""
+        out, short, old, ranks = {}, [], self.old_pieces, self.ranks
+        for text in set(texts):
+            got = self.pieces.get(text) or old.get(text)
+            if got is None:
+                data = text.encode()
+                if data in ranks:
+                    got = array("I", (ranks[data],)).tobytes()
+                elif len(data) <= 64:
+                    short.append(data)
+                    continue
+                else:
+                    got = array("I", self.stream(data)).tobytes()
+            out[text] = got
+        short.sort()
+        for data, ids in zip(short, self._walk(short), strict=True):
+            out[data.decode()] = array("I", ids).tobytes()
+        for text, ids in out.items():
+            if len(text) <= 16 or len(text.encode()) <= 64:
+                if len(self.pieces) >= self.max_pieces // 2:
+                    self.old_pieces, self.pieces = self.pieces, {}
+                self.pieces[text] = ids
+        return out
+
     def piece(self, text: str) -> tuple[int, ...]:
-        got = self.pieces.get(text)
-        if got is None:
-            data = text.encode()
-            whole = self.ranks.get(data)
-            got = (whole,) if whole is not None else tuple(self.stream(data))
-            if len(data) <= 64:
-                if len(self.pieces) >= self.max_pieces:
-                    self.pieces.clear()
-                self.pieces[text] = got
-        return got
+        return tuple(array("I", self.encode_pieces([text])[text]))
 
 
 class Utf8Decoder:
@@ -252,13 +328,23 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.decoder = Utf8Decoder(self.transducer.bytes_of)
 
-    def encode(self, text: str) -> array:
-        pieces, known = self.split(text), self.transducer.pieces
-        found = list(map(known.get, pieces))
-        if None in found:
-            piece = self.transducer.piece
-            found = [piece(p) if got is None else got for p, got in zip(pieces, found, strict=True)]
-        return array("I", chain.from_iterable(found))
+    def encode(self, texts: Iterable[str]) -> Iterator[array]:
+        """The ids of each text. Pieces not met lately are encoded together, so the texts should be some batch's."""
+        known, found, new = self.transducer.pieces.get, [], []
+        for text in texts:
+            pieces = self.split(text)
+            got = list(map(known, pieces))
+            found.append(got)
+            if None in got:
+                new.append([p for p, ids in zip(pieces, got, strict=True) if ids is None])
+            else:
+                new.append([])
+        made = self.transducer.encode_pieces(chain.from_iterable(new))
+        for got, pieces in zip(found, new, strict=True):
+            if pieces:
+                own = map(made.__getitem__, pieces)
+                got = [next(own) if ids is None else ids for ids in got]
+            yield array("I", b"".join(got))
 
     def decode(self, ids: Iterable[int]) -> str:
         parts = list(map(self.decoder.whole.get, ids))
@@ -282,8 +368,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, ids: bool =
         own = codec(vocabulary, pattern)
         for b in batches:
             rows = []
-            for text in b.column("text").to_pylist():
-                got = own.encode(text or "")
+            for got in own.encode(text or "" for text in b.column("text").to_pylist()):
                 if sys.byteorder == "big":
                     got.byteswap()
                 back = own.decode(got)

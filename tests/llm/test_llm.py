@@ -267,6 +267,27 @@ def test_transducer_forgets_and_decoder_replaces():
         assert "".join(d.stream(ids)) == b"".join(d.bytes_of[i] for i in ids).decode(errors="replace")
 
 
+def test_bpe_of_many_new_words_takes_few_new_transitions():
+    import tiktoken
+
+    path, rng = P.path("byte_bpe_multi_50k.tiktoken"), random.Random(5)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    parts = ["le", "ç", "tion", "eau", "è", "ai", "oi", "ment", "eux", "pa", "é", "que", "th", "er", "an", "ing", "sch", "ung", "ü", "ein"]
+    new = list(dict.fromkeys(" " + "".join(rng.choices(parts, k=rng.randint(3, 6))) for _ in range(6000)))
+    own, steps = bpe.Transducer(bpe.read_ranks(path)), []
+    plain = own._step
+    own._step = lambda state, byte: steps.append(byte) or plain(state, byte)
+    assert [list(own.piece(w)) for w in new] == [enc.encode_ordinary(w) for w in new]
+    assert len(steps) < 2.2 * len(new)
+    # together, with caches that overflow within a batch
+    codec = bpe.Codec(path, P.PATTERN)
+    codec.transducer = bpe.Transducer(bpe.read_ranks(path), max_states=50, max_pieces=100, max_pairs=50)
+    texts = ["".join(rng.choices(new, k=30)) for _ in range(60)] + ODD[1:] + odd_strings(50, 3)
+    texts = [t or "" for t in texts]
+    for _ in range(2):
+        assert [list(ids) for ids in codec.encode(texts)] == [enc.encode_ordinary(t) for t in texts]
+
+
 # --- 4 ---
 
 
