@@ -143,7 +143,7 @@ def _classes(spark, d):
     docs, words = _words(spark, d)
     bags = materialise(text.digitize(docs, "doc_id", F.col("tokens"), words), "bags")  # read several times below
     labels = table(spark, d, "labels")
-    return bags, text.class_counts(bags, labels, "doc_id", "quality"), labels.groupBy("quality").agg(F.count(F.lit(1)).alias("docs"))
+    return bags, materialise(text.class_counts(bags, labels, "doc_id", "quality"), "class-counts"), labels.groupBy("quality").agg(F.count(F.lit(1)).alias("docs"))
 
 
 def naive_bayes(spark, d):
