@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 from itertools import combinations
 
@@ -126,6 +126,20 @@ class Tree:
             at[i] = np.where(go, right[at[i]], left[at[i]])
 
 
+def alike(trees: list[Tree], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One row of a float32 matrix for each way through the trees' borders, and which of these stands for each row."""
+    code = np.zeros(len(x), dtype=np.int64)
+    first = np.zeros(min(1, len(x)), dtype=np.int64)
+    for f in sorted({n.feature for t in trees for n in t.nodes if n.feature >= 0}):
+        borders = np.unique(np.array([n.border for t in trees for n in t.nodes if n.feature == f], dtype=np.float32))
+        v = x[:, f]
+        bins = np.where(np.isnan(v), len(borders) + 1, np.searchsorted(borders, v))  # the number of borders below the value
+        _, first, code = np.unique(code * (len(borders) + 2) + bins, return_index=True, return_inverse=True)
+        if 2 * len(first) > len(x):  # hardly any are
+            return x, np.arange(len(x))
+    return x[first], code
+
+
 #: Stands for a missing category.
 MISSING = "\u0001"
 
@@ -197,7 +211,7 @@ class Model:
         return F.array(*each)
 
     def predict(self, df: DataFrame, kind: str = "RawFormulaVal", out: str = "prediction", start: int = 0, end: int | None = None) -> DataFrame:
-        """Small models become one expression inside codegen, larger ones numpy over Arrow batches."""
+        """Small models become one expression inside codegen, larger ones numpy over Arrow batches, where rows that no border tells apart go through the trees once."""
         trees, names = self.trees[start:end], df.columns
         if sum(len(t.nodes) for t in trees) * self.outputs <= 2000 or not self.numeric:
             got = self.prepared(df).withColumn(out, self.prediction(self.raw_column(start, end), kind))
@@ -205,18 +219,20 @@ class Model:
         shared = df.sparkSession.sparkContext.broadcast(json.dumps([[asdict(n) for n in t.nodes] for t in trees]))
         bias, k = np.array(self.bias if isinstance(self.bias, list) else [self.bias], dtype=float) * (start == 0), self.outputs
 
-        @F.pandas_udf("array<double>")
-        def raw(frames: pd.DataFrame) -> pd.Series:
+        @F.pandas_udf("double" if k == 1 else "array<double>")
+        def raw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
             own = [Tree([Node(**n) for n in t]) for t in json.loads(shared.value)]
-            x = frames.to_numpy(dtype=np.float32, na_value=np.nan)
-            total = np.tile(bias, (len(x), 1))
-            for t in own:
-                total += np.array([n.value if n.feature < 0 else [0.0] * k if k > 1 else 0.0 for n in t.nodes], dtype=float).reshape(-1, k)[t.leaf_of(x)]
-            return pd.Series(list(total))
+            values = [np.array([n.value if n.feature < 0 else [0.0] * k if k > 1 else 0.0 for n in t.nodes], dtype=float).reshape(-1, k) for t in own]
+            for frames in batches:
+                rows, which = alike(own, frames.to_numpy(dtype=np.float32, na_value=np.nan))
+                total = np.tile(bias, (len(rows), 1))
+                for t, v in zip(own, values, strict=True):
+                    total += v[t.leaf_of(rows)]
+                total = total[which]
+                yield pd.Series(total[:, 0] if k == 1 else list(total))
 
         packed = F.struct(*[c.cast("float").alias(f"f{i}") for i, c in enumerate(self.columns())])
-        got = raw(packed)
-        return df.withColumn(out, self.prediction(got if k > 1 else got[0], kind))
+        return df.withColumn(out, self.prediction(raw(packed), kind))
 
     def prediction(self, raw: Column, kind: str) -> Column:
         """A prediction type of the raw value (or array of values)."""
